@@ -41,6 +41,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return str(fs.makeQualified(target).toString())
 
 
+def tokenizer_file(name: str, folder: str = "/opt/tokenizers") -> str:
+    """Place of a public vocabulary file; every node has them."""
+    return f"{folder}/{name}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
