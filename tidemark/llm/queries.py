@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import table, tokenizer_file
 from .chat import CONTROL, END, TEXT, TURN, format_conversations
 from .exact_dedup import exact_dedup
+from .sentencepiece_backend import encode_texts
 from .sharding import shard
 from .warc import warc_round_trip
 
@@ -37,12 +38,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op4_exact_dedup": op4_exact_dedup,
         "op5_warc": op5_warc,
         "op7_chat_formatting": op7_chat_formatting,
         "op9_sharding": op9_sharding,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
