@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table, tokenizer_file
 from .chat import CONTROL, END, TEXT, TURN, format_conversations
+from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .sentencepiece_backend import encode_texts
 from .sharding import shard
@@ -34,6 +35,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(rows.unionByName(extra), tokenizer_file("byte_bpe_50k.json")).drop("n_tokens", "n_loss_tokens")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def queries() -> dict[str, Query]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_warc": op5_warc,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_decontamination": op8_decontamination,
         "op9_sharding": op9_sharding,
         "op10_sentencepiece": op10_sentencepiece,
     }
@@ -64,6 +70,10 @@ def _escaped_length(column: str) -> str:
     return " + ".join([f"length({column})", *marks])
 
 
+#: Words of digits, letters and non-ASCII characters, A-Z lowered.
+_ALNUM = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": """
@@ -86,4 +96,16 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                    sum({len(TURN + TEXT + END) + 1} + {_escaped_length("role")} + {_escaped_length("text")})::BIGINT AS formatted_chars
             FROM c GROUP BY conv_id""",
+        "op8_decontamination": f"""
+            WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+                 b AS (SELECT item_id, ws, least(13, len(ws)) AS n FROM (SELECT item_id, {_ALNUM} AS ws FROM benchmark) WHERE len(ws) > 0),
+                 bi AS (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM b),
+                 bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM bi),
+                 di AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n),
+                 hit AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM di) JOIN bw USING (n, win)),
+                 words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS w FROM hit) GROUP BY doc_id),
+                 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS listed FROM hit GROUP BY doc_id)
+            SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+                   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+            FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     }
