@@ -10,6 +10,8 @@ from ._common import table, tokenizer_file
 from .chat import CONTROL, END, TEXT, TURN, format_conversations
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
+from .language import identify_languages
+from .quality import score_quality
 from .sentencepiece_backend import encode_texts
 from .sharding import shard
 from .warc import warc_round_trip
@@ -17,6 +19,14 @@ from .warc import warc_round_trip
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -49,6 +59,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_quality": op2_quality,
+        "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_warc": op5_warc,
         "op7_chat_formatting": op7_chat_formatting,
