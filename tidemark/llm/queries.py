@@ -11,6 +11,7 @@ from .chat import CONTROL, END, TEXT, TURN, format_conversations
 from .decontaminate import find_contamination
 from .exact_dedup import exact_dedup
 from .language import identify_languages
+from .near_dedup import jaccard_join
 from .quality import score_quality
 from .sentencepiece_backend import encode_texts
 from .sharding import shard
@@ -19,6 +20,10 @@ from .warc import warc_round_trip
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_quality": op2_quality,
         "op3_language_id": op3_language_id,
         "op4_exact_dedup": op4_exact_dedup,
