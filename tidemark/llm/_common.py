@@ -60,7 +60,7 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-def restrict(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def restrict(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """df joined to keys (checkpointed, unique): by broadcast up to BROADCAST_ROWS rows, else by shuffle."""
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
