@@ -9,8 +9,8 @@ matches stand together.
 
 Nodes that hold one class end there. The members of the others are dealt, in sorted order, into blocks of at
 most `block` classes; a node of many members becomes pairs of blocks, so no task gets a whole node, and counting
-stays exact. A pair that meets in several tries counts in the first one only. Every such pair is verified with the
-whole shingle sets; what leaves a task is, per class and block, a number of links and one edge per
+stays exact. A pair that meets in several tries counts in the first one only; texts go only to blocks that
+own such a pair. Every pair is verified with the whole shingle sets; what leaves a task is, per class and block, a number of links and one edge per
 class of a spanning forest, never the pairs. Links form connected components by alternating large-star and
 small-star rounds on checkpointed edges.
 
@@ -76,7 +76,7 @@ def prefix_keys(label: np.ndarray, depth: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, depth: int) -> DataFrame:
-    """(id, text_key, set_key, keys, label) of every row; set_key is null without shingles."""
+    """(id, text_key, set_key, n, keys) of every row; set_key is null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,29 +90,81 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, depth: int) -> D
                         batch.column(0).slice(a, b - a),
                         batch.column(1).slice(a, b - a),
                         pa.array(both, pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    ["id", "text_key", "set_key", "keys"],
+                    ["id", "text_key", "set_key", "n", "keys"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, text_key binary, set_key binary, keys array<long>")
+    return rows.mapInArrow(run, f"id {kind}, text_key binary, set_key binary, n long, keys array<long>")
 
 
-def candidate_blocks(classes: DataFrame, block: int) -> DataFrame:
-    """(node, left, right, text_key, keys): classes dealt to pairs of blocks of trie nodes with two classes or more."""
-    entries = classes.select("rep", "text_key", F.posexplode("keys").alias("tree", "node"))
-    thin = entries.select("node", "text_key")
-    crowded = thin.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    crowded = checkpointed(crowded)
-    held = thin.join(crowded, "node")
-    parts = F.ceil(F.col("members") / F.lit(block)).cast("int")
+BLOCK_KEY = ("node", "left", "right")
+
+
+def crowded_blocks(classes: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """(node, left, right, mine, text_key): classes dealt to pairs of blocks of trie nodes with two classes or more."""
+    thin = classes.select("text_key", "n", F.explode("keys").alias("node"))
+    crowded = thin.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).filter("members > 1")
+    held = thin.join(checkpointed(crowded), "node")
+    parts = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("total") / F.lit(block_shingles))).cast("int")
     mine = F.pmod(F.xxhash64("text_key"), parts.cast("long")).cast("int")
     held = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     return held.select("node", F.least("mine", "other").alias("left"), F.greatest("mine", "other").alias("right"), "mine", "text_key")
 
 
+def owned_pairs(at: tuple[int, int, int], mine: np.ndarray, keys: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs this pair of blocks has to verify: of fitting sizes, met in this node first."""
+    node, left, right = at
+    wanted = (mine[:, None] == left) & (mine[None, :] == right)
+    wanted |= wanted.T
+    np.fill_diagonal(wanted, False)
+    wanted &= np.minimum(n[:, None], n[None, :]) + 1e-9 >= threshold * np.maximum(n[:, None], n[None, :])
+    for tree in range(keys.shape[1]):
+        if (keys[:, tree] == node).all():
+            break
+        wanted &= keys[:, None, tree] != keys[None, :, tree]
+    return wanted
+
+
+def grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], of_text: int | None = None) -> Iterator[tuple[tuple[int, int, int], list[tuple]]]:
+    """Rows of each pair of blocks, in partitions sorted by it; with of_text, the shingle sets of their texts come last."""
+    held: list[tuple] = []
+    at = None
+    for batch in batches:
+        for a, b in pieces(batch.column("text"), 2 << 20) if of_text else [(0, batch.num_rows)]:
+            part = batch.slice(a, b - a)
+            values = [part.column(c).to_pylist() for c in (*BLOCK_KEY, *columns)]
+            if of_text:
+                values.append(shingles(texts(part.column("text")), of_text))
+            for row in zip(*values, strict=True):
+                if row[:3] != at:
+                    if len(held) > 1:
+                        yield at, held
+                    held, at = [], row[:3]
+                held.append(row[3:])
+    if len(held) > 1:
+        yield at, held
+
+
+def candidates(blocks: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The rows of blocks that take part in a pair to be verified there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, held in grouped(batches, ("mine", "text_key", "n", "keys")):
+            mine, names, n, keys = zip(*held, strict=True)
+            some = np.flatnonzero(owned_pairs(at, np.array(mine), np.array(keys), np.array(n), threshold).any(axis=1)).tolist()
+            if some:
+                yield pa.RecordBatch.from_pydict(
+                    {"node": pa.array([at[0]] * len(some), pa.int64()), "left": pa.array([at[1]] * len(some), pa.int32()), "right": pa.array([at[2]] * len(some), pa.int32()), "mine": pa.array([mine[i] for i in some], pa.int32()), "text_key": pa.array([names[i] for i in some], pa.binary())}
+                )
+
+    dealt = blocks.join(classes.select("text_key", "n", "keys"), "text_key").repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+    return dealt.select(*BLOCK_KEY, "mine", "text_key", "n", "keys").mapInArrow(run, "node long, left int, right int, mine int, text_key binary")
+
+
 def overlap(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of all pairwise intersections, from the shingles that two sets or more hold."""
     m = len(sets)
@@ -154,25 +206,16 @@ def spanning(rows: np.ndarray, columns: np.ndarray, m: int) -> np.ndarray:
         root = new
 
 
-def verify(node: int, left: int, right: int, mine: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each member, weighted by class sizes; least linked member) for the pairs that this pair of blocks owns."""
-    m = len(sets)
+def verify(at: tuple[int, int, int], mine: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each member, weighted by class sizes; least linked member) among the pairs that this pair of blocks owns."""
     n = np.array([len(s) for s in sets])
-    wanted = (mine[:, None] == left) & (mine[None, :] == right)
-    wanted |= wanted.T
-    np.fill_diagonal(wanted, False)
-    small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    wanted &= small + 1e-9 >= threshold * large
-    for tree in range(keys.shape[1]):  # only pairs that meet in this node first
-        if (keys[:, tree] == node).all():
-            break
-        wanted &= keys[:, None, tree] != keys[None, :, tree]
+    wanted = owned_pairs(at, mine, keys, n, threshold)
     if not wanted.any():
-        return np.zeros(m, np.int64), np.arange(m)
+        return np.zeros(len(sets), np.int64), np.arange(len(sets))
     common = overlap(sets)
     linked = wanted & (common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9)
     rows, columns = np.nonzero(linked)
-    return linked @ size, spanning(rows, columns, m)
+    return linked @ size, spanning(rows, columns, len(sets))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99999, block: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99999, block: int = 256, block_shingles: int = 400_000
 ) -> DataFrame:
     """One row per input row: id_col, class_id (least id of its connected component), n_links (other rows with similarity at least
     the threshold), copies (rows with the same shingle set), text_key.
@@ -201,48 +244,30 @@ def jaccard_join(
     depth = depth_for(threshold, recall)
     rows = checkpointed(sketch(docs, id_col, text_col, n, depth))
     full = rows.filter("set_key is not null")
-    classes = full.groupBy("set_key").agg(F.min_by(F.struct("text_key", "keys"), "text_key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
-    classes = checkpointed(classes.select("set_key", F.col("rep.text_key").alias("text_key"), F.col("rep.keys").alias("keys"), "copies", "least"))
-    blocks = checkpointed(candidate_blocks(classes.withColumn("rep", F.col("text_key")), block))
+    classes = full.groupBy("set_key").agg(F.min_by(F.struct("text_key", "n", "keys"), "text_key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    classes = checkpointed(classes.select("set_key", "rep.text_key", "rep.n", "rep.keys", "copies", "least"))
+    blocks = checkpointed(candidates(crowded_blocks(classes, block, block_shingles), classes, threshold))
     wanted = checkpointed(blocks.select("text_key").distinct())
-    # whole texts of the classes in crowded nodes, one row each
+    # whole texts of the classes to verify, one row each
     chosen = docs.select(text_key(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
     chosen = restrict(chosen, wanted, "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
     chosen = chosen.join(classes.select("text_key", "keys", "copies"), "text_key")
-    dealt = blocks.join(chosen, "text_key").repartition("node", "left", "right").sortWithinPartitions("node", "left", "right", "text_key")
+    dealt = blocks.join(chosen, "text_key").repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        at = None
-
-        def close() -> pa.RecordBatch | None:
-            if len(held) < 2:
-                return None
-            names = [x[0] for x in held]
-            sets = shingles([x[2] for x in held], n)
-            links, root = verify(*at, np.array([x[1] for x in held]), np.array([x[3] for x in held]), sets, np.array([x[4] for x in held]), threshold)
-            some = np.flatnonzero(links)
-            if not len(some):
-                return None
-            return pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in some], pa.binary()), pa.array([names[root[i]] for i in some], pa.binary()), pa.array(links[some], pa.int64())], ["a", "b", "links"]
-            )
+        for at, held in grouped(batches, ("mine", "text_key", "keys", "copies"), n):
+            mine, names, keys, copies, sets = zip(*held, strict=True)
+            links, root = verify(at, np.array(mine), np.array(keys), list(sets), np.array(copies), threshold)
+            some = np.flatnonzero(links).tolist()
+            if some:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[i] for i in some], pa.binary()), pa.array([names[root[i]] for i in some], pa.binary()), pa.array(links[some], pa.int64())], ["a", "b", "links"]
+                )
 
-        for batch in batches:
-            kept = texts(batch.column("text"))
-            for i, (node, left, right, mine, key, keys, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "left", "right", "mine", "text_key", "keys", "copies")), strict=True)):
-                if (node, left, right) != at:
-                    if at is not None and (out := close()) is not None:
-                        yield out
-                    held, at = [], (node, left, right)
-                held.append((key, mine, kept[i], keys, copies))
-        if at is not None and (out := close()) is not None:
-            yield out
-
-    linked = checkpointed(dealt.select("node", "left", "right", "mine", "text_key", "keys", "copies", "text").mapInArrow(run, "a binary, b binary, links long"))
+    linked = checkpointed(dealt.select(*BLOCK_KEY, "mine", "text_key", "keys", "copies", "text").mapInArrow(run, "a binary, b binary, links long"))
     links = linked.groupBy(F.col("a").alias("text_key")).agg(F.sum("links").alias("links"))
     roots = components(linked.select("a", "b"))
-    classes = classes.drop("keys").join(links, "text_key", "left").join(roots.withColumnRenamed("rep", "text_key"), "text_key", "left")
+    classes = classes.drop("keys", "n").join(links, "text_key", "left").join(roots.withColumnRenamed("rep", "text_key"), "text_key", "left")
     classes = checkpointed(classes.select("set_key", "copies", "least", F.coalesce("root", "text_key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     leasts = classes.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = classes.join(leasts, "root").select("set_key", "copies", "class_id", "links")
