@@ -205,44 +205,71 @@ def store_phrases(benchmark: DataFrame, folder: str, id_col: str, text_col: str,
     return blocks
 
 
+class Judgement:
+    """What the test phrases hit in a shard of texts."""
+
+    def __init__(self, body: list[bytes], folder: str, blocks: int, share: int) -> None:
+        shard = Words([t.translate(LOWER) for t in body], ALNUM)
+        change = np.zeros(len(shard) + 1, np.int64)
+        self.items: dict[int, set[str]] = defaultdict(set)
+        for block in range(blocks):
+            for first, size, which, names in occurrences(shard.hashes, shard.bounds, load(folder, block)):
+                np.add.at(change, first, 1)
+                np.add.at(change, first + size, -1)
+                doc = np.searchsorted(shard.bounds, first, side="right") - 1
+                for d, w in np.unique(np.stack([doc, which]), axis=1).T.tolist():
+                    self.items[d].update(names[w])
+        self.bounds, self.covered = shard.bounds, np.cumsum(change[:-1]) > 0
+        self.n_words = np.diff(shard.bounds)
+        self.n_hit = np.diff(np.r_[0, np.cumsum(self.covered)][shard.bounds])
+        self.contaminated = (self.n_hit > 0) & (share * self.n_hit >= self.n_words)
+
+    def spans(self) -> list[list[dict[str, int]]]:
+        ranges = zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), self.n_hit.tolist(), strict=True)
+        return [[{"first": f, "words": w} for f, w in removal_spans(self.covered[a:b])] if n else [] for a, b, n in ranges]
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20
 ) -> DataFrame:
     """Per row: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word, words)."""
     folder = scratch(docs.sparkSession, "phrases")
-    blocks = store_phrases(benchmark, folder, item_col, text_col, window, block_bytes)
+    blocks = store_phrases(benchmark, folder, item_col, "text", window, block_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in pieces(batch.column(1), shard_bytes):
-                shard = Words([t.translate(LOWER) for t in texts(batch.column(1).slice(a, b - a))], ALNUM)
-                change = np.zeros(len(shard) + 1, np.int64)
-                items: dict[int, set[str]] = defaultdict(set)
-                for block in range(blocks):
-                    for first, size, which, names in occurrences(shard.hashes, shard.bounds, load(folder, block)):
-                        np.add.at(change, first, 1)
-                        np.add.at(change, first + size, -1)
-                        doc = np.searchsorted(shard.bounds, first, side="right") - 1
-                        for d, w in np.unique(np.stack([doc, which]), axis=1).T.tolist():
-                            items[d].update(names[w])
-                covered = np.cumsum(change[:-1]) > 0
-                n_words = np.diff(shard.bounds)
-                n_hit = np.diff(np.r_[0, np.cumsum(covered)][shard.bounds])
-                listed = [",".join(sorted(items.get(i, ()))) for i in range(b - a)]
-                spans = [removal_spans(covered[x:y]) if n else [] for x, y, n in zip(shard.bounds[:-1].tolist(), shard.bounds[1:].tolist(), n_hit.tolist(), strict=True)]
+                found = Judgement(texts(batch.column(1).slice(a, b - a)), folder, blocks, share)
+                listed = [sorted(found.items.get(i, ())) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([len(items.get(i, ())) for i in range(b - a)], pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed]),
-                        pa.array((n_hit > 0) & (share * n_hit >= n_words)),
-                        pa.array([[{"first": f, "words": w} for f, w in x] for x in spans], pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))),
+                        pa.array(found.n_words, pa.int64()),
+                        pa.array(found.n_hit, pa.int64()),
+                        pa.array([len(x) for x in listed], pa.int64()),
+                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]),
+                        pa.array(found.contaminated),
+                        pa.array(found.spans(), pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))),
                     ],
                     [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
                 )
 
     schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first: long, words: long>>"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    folder = scratch(docs.sparkSession, "phrases")
+    blocks = store_phrases(benchmark, folder, item_col, "text", window, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(batch.column(text_col), shard_bytes):
+                part = batch.slice(a, b - a)
+                kept = part.filter(pa.array(~Judgement(texts(part.column(text_col)), folder, blocks, share).contaminated))
+                if kept.num_rows:
+                    yield kept
+
+    return docs.mapInArrow(run, docs.schema)

@@ -157,3 +157,19 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias(text_col))
     return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 2000) -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns."""
+    model = fit_languages(docs, id_col, text_col, lang_col, most_per_language)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(batch.column(text_col), 4 << 20):
+                part = batch.slice(a, b - a)
+                kept = part.filter(pa.array([not x[2] for x in shared.value.predict(part.column(text_col).to_pylist())]))
+                if kept.num_rows:
+                    yield kept
+
+    return docs.mapInArrow(run, docs.schema)

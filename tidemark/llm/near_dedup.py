@@ -239,7 +239,7 @@ def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99999, block: int = 256, block_shingles: int = 400_000
 ) -> DataFrame:
     """One row per input row: id_col, class_id (least id of its connected component), n_links (other rows with similarity at least
-    the threshold), copies (rows with the same shingle set), text_key.
+    the threshold), copies (rows with the same shingle set), text_key, class_key (names the component; null without shingles).
     """
     depth = depth_for(threshold, recall)
     rows = checkpointed(sketch(docs, id_col, text_col, n, depth))
@@ -270,7 +270,7 @@ def jaccard_join(
     classes = classes.drop("keys", "n").join(links, "text_key", "left").join(roots.withColumnRenamed("rep", "text_key"), "text_key", "left")
     classes = checkpointed(classes.select("set_key", "copies", "least", F.coalesce("root", "text_key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     leasts = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = classes.join(leasts, "root").select("set_key", "copies", "class_id", "links")
+    classes = classes.join(leasts, "root").select("set_key", "copies", "class_id", "links", F.col("root").alias("class_key"))
     out = rows.select("id", "text_key", "set_key").join(classes, "set_key", "left")
     return out.select(
         F.col("id").alias(id_col),
@@ -278,4 +278,5 @@ def jaccard_join(
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
         "text_key",
+        "class_key",
     )

@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key", "class_key")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
