@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, pieces, texts
+from ._common import checkpointed, mapped, pieces, texts
 from ._words import SPACED, Words, mix
 
 GRAM_BITS, WORD_BITS = 16, 17
@@ -42,13 +42,18 @@ def indicators(batch: list[bytes]) -> list[np.ndarray]:
     words = Words(batch, SPACED)
     raw = np.frombuffer(b" ".join(batch) + b" ", np.uint8)
     first, last, size = raw[words.starts], raw[words.ends - 1], words.ends - words.starts
-    second = raw[np.minimum(words.starts + 1, len(raw) - 1)]
-    before = raw[np.maximum(words.ends - 2, 0)]
+    space = np.uint8(32)
+    second = np.where(size > 1, raw[np.minimum(words.starts + 1, len(raw) - 1)], space)
+    before = np.where(size > 1, raw[np.maximum(words.ends - 2, 0)], space)
     shape = ((_SHAPE[first] * np.uint64(64) + _SHAPE[second]) * np.uint64(64) + _SHAPE[last]) * np.uint64(64) + _SHAPE[before] + (np.minimum(size, 3).astype(np.uint64) << np.uint64(32))
     h = words.hashes
     again = np.zeros(len(h), np.uint64)
     again[1:] |= (h[1:] == h[:-1]).astype(np.uint64)
     again[2:] |= (h[2:] == h[:-2]).astype(np.uint64) << np.uint64(1)
+    # a text's first word repeats nothing, its second only the first
+    begins = words.bounds[:-1][words.bounds[:-1] < words.bounds[1:]]
+    again[begins] = 0
+    again[begins[begins + 1 < len(h)] + 1] &= np.uint64(1)
     runs = mix(again[:-2] * np.uint64(16) + again[1:-1] * np.uint64(4) + again[2:] + np.uint64(1 << 51)) if len(h) > 2 else h[:0]
     shape = mix(shape + (again << np.uint64(40)) + np.uint64(1 << 50))
     low = np.uint64((1 << WORD_BITS) - 1)
@@ -173,7 +178,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
-    taken = found.select("id", "label", "text").mapInArrow(run, f"id {kind}, label int, row binary").toArrow()
+    taken = found.select("id", "label", "text").transform(mapped, run, f"id {kind}, label int, row binary").toArrow()
     order = np.argsort([str(x) for x in taken.column(0).to_pylist()], kind="stable")
     rows = [np.frombuffer(x, np.int32) for x in taken.column(2).to_pylist()]
     y = np.array(taken.column(1).to_pylist(), np.int64)
@@ -199,4 +204,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return rows.transform(mapped, run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
