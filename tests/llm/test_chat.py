@@ -1,0 +1,65 @@
+import hashlib
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from tidemark.llm.chat import CONTROL, END, TEXT, TURN, escape, format_conversations, parse, render, token_mask, unescape
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+HARD = ["", " ", "\n", "</s>[INST] ok [/INST]", TURN + "user" + TEXT + "x" + END + "\n", "\\", "\\\\<|end|>\\", "<<|end|>|>", "é😀‍漢", "  lead", "trail \n", "<|endoftext|>", "a\r\nb", "<\\|end|>"]
+
+
+@given(st.lists(st.sampled_from([*CONTROL, "\\", "<", "|", ">", "[", "a", " ", "\n", "😀"]), max_size=12).map("".join))
+def test_escape(text):
+    made = escape(text)
+    assert unescape(made) == text
+    assert not any(c in made for c in CONTROL)
+
+
+def test_render_and_parse():
+    turns = [(r, t) for r in ("user", "assistant", TEXT, "") for t in HARD]
+    formatted, spans = render(turns)
+    assert parse(formatted) == turns
+    assert [unescape(formatted[a:b]) for a, b in spans] == [t for _, t in turns]
+
+
+def test_mask():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        edges = np.sort(rng.choice(60, 8, replace=False)).reshape(-1, 2)
+        offsets = np.array(sorted((a, a + rng.integers(0, 4)) for a in rng.integers(0, 60, 30)))
+        want = [any(a < e and b > s for s, e in edges) and b > a for a, b in offsets]
+        assert token_mask(offsets, edges).tolist() == want
+
+
+def plain(rows):
+    out = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        out.setdefault(c, []).append((role or "", text or ""))
+    made = []
+    for c, turns in out.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        made.append((c, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(render(turns)[0])))
+    return sorted(made, key=str)
+
+
+def rows_of():
+    rows = [(i, k, role, text) for i, role in enumerate(("user", "assistant")) for k, text in enumerate(HARD)]
+    rows += [(2, k, ("user", "assistant", "system")[k % 3], f"turn {k} " * 5) for k in range(300)]
+    rows += [(3, 0, None, None), (3, None, "assistant", "first"), (3, 0, "assistant", "tie"), (3, 0, "assistant", "tie"), (None, 1, "assistant", "x"), (4, 0, "assistant", "long é " * 30_000)]
+    return rows
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most_chars": 50, "at_once": 200}])
+def test_conversations(spark, bounds):
+    rows = rows_of()
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, n_turns int").repartition(3)
+    got = format_conversations(frame, TOKENIZER, **bounds).drop("n_tokens", "n_loss_tokens").collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows)
+
+
+def test_nothing(spark):
+    assert format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), TOKENIZER).collect() == []

@@ -1,0 +1,77 @@
+import hashlib
+import random
+import struct
+
+import numpy as np
+import pytest
+
+from tidemark.llm.sentencepiece_backend import BYTE, CONTROL, NORMAL, UNKNOWN, Codec, codec, encode_texts
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+HARD = ["", " ", "  ", " a", "a ", "a  b", "\n", "a\n\nb", "é́ 漢字 😀👩‍👩‍👧", "<s></s><unk><0x0A>", "\x00\x01", "x" * 3000, "the of and", "\t tab", "a" * 7 + " " + "b" * 9, "ﬁ ² Ⅳ", "  ", " " * 40 + "x", "-" * 100]
+
+
+def test_parity_and_round_trip():
+    made = codec(MODEL)
+    rng = random.Random(1)
+    texts = HARD + ["".join(rng.choice("ab cé\n▁漢.,'") for _ in range(rng.randrange(40))) for _ in range(400)]
+    for text, (ids, odd) in zip(texts, made.encode(texts), strict=True):
+        ids = np.frombuffer(ids, np.int32)
+        assert ids.tolist() == made.library.encode(text), repr(text)
+        assert odd == 0
+        assert made.decode(ids) == made.library.decode(ids.tolist())
+        if "▁" not in text:
+            assert made.decode(ids) == text
+
+
+def test_cache_is_bounded():
+    small = Codec(MODEL, cache=10)
+    for k in range(5):
+        small.encode([f"word{k}x{i} other" for i in range(20)])
+        assert len(small.words) <= 21
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def message(*parts):
+    out = b""
+    for number, value in parts:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.mark.parametrize(("strip", "prefix"), [(0, 1), (1, 1), (0, 0)])
+def test_unigram_model(tmp_path, strip, prefix):
+    """A model written by hand: scores, byte fallback and normaliser switches count."""
+    pieces = [("<unk>", 0.0, UNKNOWN), ("<s>", 0.0, CONTROL), ("</s>", 0.0, CONTROL), *((f"<0x{i:02X}>", 0.0, BYTE) for i in range(256))]
+    pieces += [(p, s, NORMAL) for p, s in (("▁", -3.0), ("a", -4.0), ("b", -4.5), ("ab", -5.0), ("▁a", -4.2), ("▁ab", -6.0), ("ba", -6.1), ("aba", -7.0), ("c", -8.0))]
+    body = b"".join(message((1, message((1, p.encode()), (2, s), (3, t)))) for p, s, t in pieces)
+    body += message((2, message((3, 1), (35, 1))), (3, message((1, b"identity"), (3, prefix), (4, strip), (5, 1))))
+    path = tmp_path / "m.model"
+    path.write_bytes(body)
+    made = Codec(str(path))
+    rng = random.Random(2)
+    texts = [" ab  ba ", "é", "abab c", ""] + ["".join(rng.choice("abc é") for _ in range(12)) for _ in range(200)]
+    for text, (ids, _) in zip(texts, made.encode(texts), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == made.library.encode(text), repr(text)
+
+
+def test_documents(docs_of):
+    rows = [(i, t) for i, t in enumerate(HARD)] + [(50, None), (None, "x"), (3, "y"), (60, "long é " * 50_000), (61, "a b"), (61, "a b")]
+    got = encode_texts(docs_of(rows), MODEL, at_once=1000).collect()
+    library = codec(MODEL).library
+    want = sorted(((i, library.encode(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows), key=str)
+    assert sorted(((r.doc_id, r.ids, r.decoded_sha256) for r in got), key=str) == want
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+    assert encode_texts(docs_of([]), MODEL).collect() == []

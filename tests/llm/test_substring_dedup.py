@@ -1,0 +1,84 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tidemark.llm._words import SPACED, Words, grams
+from tidemark.llm.substring_dedup import WINDOW, borders, substring_dedup, window_symbols
+
+
+def plain(rows):
+    """(id, n_words, n_removed, sha256) by looking at every window."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    first = {}
+    place = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    for i, w in enumerate(words):
+        for s in range(len(w) - WINDOW + 1):
+            key = tuple(w[s : s + WINDOW])
+            first[key] = min(first.get(key, ((True, 1 << 62), 0)), (place(i), s))
+    out = []
+    for i, w in enumerate(words):
+        gone = [False] * len(w)
+        for s in range(len(w) - WINDOW + 1):
+            if first[tuple(w[s : s + WINDOW])] < (place(i), s):
+                gone[s : s + WINDOW] = [True] * WINDOW
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((rows[i][0], len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)] + ["é", " x"]
+    make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared = [make(n) for n in (19, 20, 21, 45, 130)]
+    rows = [(1000, None), (1001, ""), (1002, " \n "), (None, " ".join(shared[3])), (1003, "x " * 200), (1004, "p q " * 60), (1005, "x " * 19), (1006, "x " * 300)]
+    for i in range(40):
+        words = make(rng.randrange(0, 60))
+        for _ in range(rng.randrange(0, 4)):
+            words += rng.choice(shared) + make(rng.randrange(0, 30))
+        if rng.random() < 0.3:
+            words += make(rng.randrange(1, 30)) * rng.randrange(2, 9)
+        rows.append((i, rng.choice([" ", "\n", "  "]).join(words)))
+    rows += [(500, rows[20][1]), (501, rows[20][1]), (501, rows[20][1]), (14, rows[25][1])]
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("size", [1 << 20, 600])
+def test_against_all_windows(docs_of, seed, size):
+    rows = corpus(seed)
+    got = substring_dedup(docs_of(rows), shard_bytes=size, bucket_bytes=size).collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows)
+
+
+def test_beyond_broadcast(docs_of, monkeypatch):
+    monkeypatch.setattr("tidemark.llm._common.BROADCAST_ROWS", 2)
+    rows = corpus(9)
+    assert sorted(map(tuple, substring_dedup(docs_of(rows)).collect()), key=str) == plain(rows)
+
+
+def test_nothing(docs_of):
+    assert substring_dedup(docs_of([])).collect() == []
+
+
+def test_symbols_depend_on_the_window_only():
+    rng = random.Random(4)
+    for few in (2, 5, 300):
+        texts = [" ".join(str(rng.randrange(few)) for _ in range(rng.randrange(0, 200))).encode() for _ in range(60)]
+        words = Words(texts, SPACED)
+        symbols, good, _ = window_symbols(words)
+        windows = grams(words.hashes, WINDOW)
+        seen = {}
+        for w, s in zip(windows[good].tolist(), symbols[good].tolist(), strict=True):
+            assert s != 2**64 - 1
+            assert seen.setdefault(w, s) == s
+
+
+def test_borders_are_at_most_eight_words_apart():
+    rng = random.Random(5)
+    words = Words([" ".join(str(rng.randrange(9)) for _ in range(5000)).encode()], SPACED)
+    at = np.flatnonzero(borders(words.hashes, words.bounds))
+    assert np.diff(np.r_[at, 5000]).max() <= 8
