@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Most rows whose keys may be broadcast (16-byte keys: about 50 MB built).
 BROADCAST_ROWS = 400_000
@@ -66,15 +70,36 @@ def restrict(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "le
     return df.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
 
 
-def arrow_map(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that handles one batch at a time."""
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker process lives on after its task, beside other stages' workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: Bytes of an Arrow batch. Spark's own bound is a number of rows, whatever their length.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless it has a bound already."""
+    if int(spark.conf.get(_BATCH_CONF, str(2**31 - 1))) >= 2**31 - 1:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of bounded bytes that releases memory when a task ends."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
 
-    return run
+    return df.mapInArrow(run, schema)
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import mapped
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = (TURN, TEXT, END, "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("(?=(?:" + "|".join(map(re.escape, CONTROL)) + "))(.)")
@@ -169,4 +171,4 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, most_chars: int =
         if done:
             yield pa.RecordBatch.from_pylist(done, SCHEMA)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")
+    return rows.transform(mapped, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")

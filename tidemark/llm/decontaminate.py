@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import pieces, scratch, texts
+from ._common import mapped, pieces, scratch, texts
 from ._words import ALNUM, LOWER, Words
 from .warc import filesystem
 
@@ -256,7 +256,7 @@ def find_contamination(
                 )
 
     schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first: long, words: long>>"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).transform(mapped, run, schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20) -> DataFrame:
@@ -272,4 +272,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
                 if kept.num_rows:
                     yield kept
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)

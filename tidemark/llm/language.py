@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces
+from ._common import mapped, pieces
 
 BITS = 13
 SIZE = 1 << BITS
@@ -134,7 +134,7 @@ def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
             )
 
     sample = known.filter(chosen).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    taken = sample.mapInArrow(run, "id string, lang string, at binary, value binary").limit(2 * most_total).toArrow().to_pydict()
+    taken = sample.transform(mapped, run, "id string, lang string, at binary, value binary").limit(2 * most_total).toArrow().to_pydict()
     order = sorted(range(len(taken["id"])), key=lambda i: (taken["id"][i], taken["lang"][i], taken["at"][i]))
     rows = [(np.frombuffer(taken["at"][i], np.int32), np.frombuffer(taken["value"][i], np.float32)) for i in order]
     return Centroids(rows, [taken["lang"][i] for i in order])
@@ -156,7 +156,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.transform(mapped, run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 2000) -> DataFrame:
@@ -172,4 +172,4 @@ def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if kept.num_rows:
                     yield kept
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)

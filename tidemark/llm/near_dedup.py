@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, pieces, restrict, text_key, text_of, texts
+from ._common import checkpointed, mapped, pieces, restrict, text_key, text_of, texts
 from ._words import SPACED, Words, grams, mix
 
 TREES, LABEL = 24, 6
@@ -98,7 +98,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, depth: int) -> D
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_of(text_col)).alias("text_key"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, text_key binary, set_key binary, n long, keys array<long>")
+    return rows.transform(mapped, run, f"id {kind}, text_key binary, set_key binary, n long, keys array<long>")
 
 
 BLOCK_KEY = ("node", "left", "right")
@@ -162,7 +162,7 @@ def candidates(blocks: DataFrame, classes: DataFrame, threshold: float) -> DataF
                 )
 
     dealt = blocks.join(classes.select("text_key", "n", "keys"), "text_key").repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
-    return dealt.select(*BLOCK_KEY, "mine", "text_key", "n", "keys").mapInArrow(run, "node long, left int, right int, mine int, text_key binary")
+    return dealt.select(*BLOCK_KEY, "mine", "text_key", "n", "keys").transform(mapped, run, "node long, left int, right int, mine int, text_key binary")
 
 
 def overlap(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -264,7 +264,7 @@ def jaccard_join(
                     [pa.array([names[i] for i in some], pa.binary()), pa.array([names[root[i]] for i in some], pa.binary()), pa.array(links[some], pa.int64())], ["a", "b", "links"]
                 )
 
-    linked = checkpointed(dealt.select(*BLOCK_KEY, "mine", "text_key", "keys", "copies", "text").mapInArrow(run, "a binary, b binary, links long"))
+    linked = checkpointed(dealt.select(*BLOCK_KEY, "mine", "text_key", "keys", "copies", "text").transform(mapped, run, "a binary, b binary, links long"))
     links = linked.groupBy(F.col("a").alias("text_key")).agg(F.sum("links").alias("links"))
     roots = components(linked.select("a", "b"))
     classes = classes.drop("keys", "n").join(links, "text_key", "left").join(roots.withColumnRenamed("rep", "text_key"), "text_key", "left")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import pieces
+from ._common import mapped, pieces
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -118,7 +118,7 @@ class Model:
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, cache: int = 600_000) -> None:
+    def __init__(self, path: str, cache: int = 200_000) -> None:
         import sentencepiece
 
         with open(path, "rb") as file:
@@ -148,17 +148,19 @@ class Codec:
             yield right, np.array_equal(ids, right)
 
     def learn(self, words: list[str]) -> None:
-        """Puts words (without marker) into the cache; runs of 512 words are encoded as one string."""
-        runs = [words[i : i + 512] for i in range(0, len(words), 512)]
-        for run, (ids, same) in zip(runs, self.both([" ".join(x) for x in runs]), strict=True):
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(run):  # not reached while by_word holds
-                raise ValueError("a piece crosses a word start")
-            ends = np.r_[cuts[1:], len(ids)]
-            raw = ids.tobytes()
-            self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(run, cuts.tolist(), ends.tolist(), strict=True))
-            if not same:
-                self.odd.update(run)
+        """Puts words (without marker) into the cache; runs of 512 words are encoded as one string, 16 runs at once."""
+        for begin in range(0, len(words), 512 * 16):
+            some = words[begin : begin + 512 * 16]
+            runs = [some[i : i + 512] for i in range(0, len(some), 512)]
+            for run, (ids, same) in zip(runs, self.both([" ".join(x) for x in runs]), strict=True):
+                cuts = np.flatnonzero(self.opens[ids])
+                if len(cuts) != len(run):  # not reached while by_word holds
+                    raise ValueError("a piece crosses a word start")
+                ends = np.r_[cuts[1:], len(ids)]
+                raw = ids.tobytes()
+                self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(run, cuts.tolist(), ends.tolist(), strict=True))
+                if not same:
+                    self.odd.update(run)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
         """For each text its ids (little-endian int32) and how many of its words are from the library instead."""
@@ -199,7 +201,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", at_once: int = 4 << 20) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", at_once: int = 1 << 20) -> DataFrame:
     """Per row: id_col, n_tokens, ids, n_fallback, decoded_sha256 (of the text decoded from the ids), round_trip."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -224,5 +226,9 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                     [id_col, "n_tokens", "ids", "n_fallback", "decoded_sha256", "round_trip"],
                 )
 
+    def forgetful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        codec(model_path).words.clear()
+
     schema = f"`{id_col}` {kind}, n_tokens long, ids array<int>, n_fallback long, decoded_sha256 string, round_trip boolean"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).transform(mapped, forgetful, schema)

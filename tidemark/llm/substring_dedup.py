@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, pieces, restrict, text_key, text_of, texts
+from ._common import checkpointed, mapped, pieces, restrict, text_key, text_of, texts
 from ._words import SPACED, Words, grams, mix, within
 
 WINDOW, ROUNDS, REACH, FIRST, LAST = 20, 3, 6, 6, 14
@@ -151,7 +151,7 @@ def send_symbols(docs: DataFrame, buckets: int, shard_bytes: int) -> DataFrame:
                     if (out := pair_rows(kind, key[owner[pick]], symbol[pick], place(symbol[pick], buckets))) is not None:
                         yield out
 
-    return docs.select("text_key", "text").mapInArrow(run, "kind int, bucket int, keys binary, values binary")
+    return docs.select("text_key", "text").transform(mapped, run, "kind int, bucket int, keys binary, values binary")
 
 
 def gathered(batches: Iterator[pa.RecordBatch], by: str, columns: list[str]) -> Iterator[tuple[int, list[list]]]:
@@ -189,7 +189,7 @@ def shared_symbols(sent: DataFrame, buckets: int) -> DataFrame:
             if (out := pair_rows(0, key, symbol, text_place(key, buckets))) is not None:
                 yield out
 
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, bucket int, keys binary, values binary").drop("kind")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").transform(mapped, run, "kind int, bucket int, keys binary, values binary").drop("kind")
 
 
 def distinct_keys(pairs: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def distinct_keys(pairs: DataFrame) -> DataFrame:
             found = np.unique(np.frombuffer(b"".join(batch.column("keys").to_pylist()), _U)).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([found[i : i + 8] for i in range(0, len(found), 8)], pa.binary())], ["short"])
 
-    return pairs.select("keys").mapInArrow(run, "short binary").distinct()
+    return pairs.select("keys").transform(mapped, run, "short binary").distinct()
 
 
 def text_place(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -293,7 +293,7 @@ def send_windows(docs: DataFrame, shared: DataFrame, buckets: int, shard_bytes:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, SENT)
 
-    return meet(docs, shared, buckets).mapInArrow(run, SENT_SQL)
+    return meet(docs, shared, buckets).transform(mapped, run, SENT_SQL)
 
 
 def repeats(sent: DataFrame, buckets: int) -> DataFrame:
@@ -312,7 +312,7 @@ def repeats(sent: DataFrame, buckets: int) -> DataFrame:
             if (out := pair_rows(0, key, start, text_place(key, buckets))) is not None:
                 yield out
 
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind int, bucket int, keys binary, values binary").drop("kind")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").transform(mapped, run, "kind int, bucket int, keys binary, values binary").drop("kind")
 
 
 def kept_words(body: bytes, starts: np.ndarray) -> tuple[int, bytes]:
@@ -341,7 +341,7 @@ def cover(docs: DataFrame, found: DataFrame, buckets: int, shard_bytes: int) ->
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("text_key", pa.binary()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return meet(docs, found, buckets).mapInArrow(run, "text_key binary, n_removed long, kept_sha256 string")
+    return meet(docs, found, buckets).transform(mapped, run, "text_key binary, n_removed long, kept_sha256 string")
 
 
 def whole(docs: DataFrame) -> DataFrame:
@@ -356,7 +356,7 @@ def whole(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select("id", "text_key", F.octet_length("text").cast("long").alias("size"), "text")
-    return rows.mapInArrow(run, "id long, text_key binary, size long, n_words long, all_sha256 string")
+    return rows.transform(mapped, run, "id long, text_key binary, size long, n_words long, all_sha256 string")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 6 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:

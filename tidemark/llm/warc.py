@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, checkpointed, scratch
+from ._common import BROADCAST_ROWS, checkpointed, mapped, scratch
 
 PIECE = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -212,7 +212,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20,
         if out is not None:
             yield close()
 
-    return checkpointed(pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long"))
+    return checkpointed(pages.select("page_id", "url", "html", "refers_to").transform(mapped, run, "path string, records long"))
 
 
 def normalise(manifest: DataFrame, folder: str, level: int = 3) -> DataFrame:
@@ -231,7 +231,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 3) -> DataFrame:
                     count = normalise_stream(source, target, index, level)
                 yield pa.RecordBatch.from_pydict({"path": [f"{name}.warc.gz"], "index_path": [f"{name}.idx"], "records": [count]})
 
-    return checkpointed(manifest.select("path").mapInArrow(run, "path string, index_path string, records long"))
+    return checkpointed(manifest.select("path").transform(mapped, run, "path string, index_path string, records long"))
 
 
 FIELDS = {"page_id": "long", "url": "string", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "payload": "binary"}
@@ -260,7 +260,7 @@ def read_archives(manifest: DataFrame, folder: str, columns: tuple[str, ...] = t
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("path", "index_path").mapInArrow(run, ", ".join(f"{k} {FIELDS[k]}" for k in columns))
+    return manifest.select("path", "index_path").transform(mapped, run, ", ".join(f"{k} {FIELDS[k]}" for k in columns))
 
 
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
