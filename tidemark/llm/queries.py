@@ -14,7 +14,7 @@ from .language import identify_languages
 from .near_dedup import jaccard_join
 from .quality import score_quality
 from .sentencepiece_backend import encode_texts
-from .sharding import shard
+from .sharding import ROUNDS, shard
 from .substring_dedup import substring_dedup
 from .warc import warc_round_trip
 
@@ -94,12 +94,34 @@ def _escaped_length(column: str) -> str:
     return " + ".join([f"length({column})", *marks])
 
 
+def _feistel(rows: str) -> str:
+    """DuckDB SQL for one application of the network to rows (number, k, n, a, b, p)."""
+    made = f"SELECT number, k, n, a, b, p // b AS l, p % b AS r FROM {rows}"
+    for step in range(ROUNDS):
+        mixed = "(('0x' || substr(md5('17:{step}:' || {half}), 1, 15))::BIGINT % {modulus})"
+        if step % 2 == 0:
+            made = f"SELECT number, k, n, a, b, (l + {mixed.format(step=step, half='r', modulus='a')}) % a AS l, r FROM ({made})"
+        else:
+            made = f"SELECT number, k, n, a, b, l, (r + {mixed.format(step=step, half='l', modulus='b')}) % b AS r FROM ({made})"
+    return made
+
+
 #: Words of digits, letters and non-ASCII characters, A-Z lowered.
 _ALNUM = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_jaccard_join": r"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+                 g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(ws) - 4) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS grams FROM d WHERE len(ws) > 0),
+                 s AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+                 met AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM s x JOIN s y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+                 link AS (SELECT * FROM met WHERE c >= 0.8 * (na + nb - c) - 1e-9),
+                 reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.other = link.a),
+                 class AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY 1),
+                 degree AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (c = na AND c = nb) AS same FROM link GROUP BY 1)
+            SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, 1 + coalesce(same, 0) AS copies FROM class LEFT JOIN degree USING (doc_id)""",
         "op4_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -143,4 +165,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                    sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
             FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+        "op9_sharding": f"""
+            WITH RECURSIVE size AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, greatest(1, ceil(sqrt(n)))::BIGINT AS a FROM (SELECT count(*) AS n FROM documents))),
+                 crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+                 d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+                        xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                            lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) AS text_crc32 FROM documents, crc),
+                 base AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS number FROM d),
+                 walk AS (SELECT number, number AS p, 0 AS k, n, a, b FROM base, size
+                          UNION ALL SELECT number, l * b + r, k + 1, n, a, b FROM ({_feistel("walk WHERE k = 0 OR p >= n")})),
+                 placed AS (SELECT number, p FROM walk WHERE k > 0 AND p < n)
+            SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 8)::INT AS shard, p // 8 AS slot, NULL::INT AS grown_shard, number AS row_number
+            FROM base JOIN placed USING (number)""",
     }
