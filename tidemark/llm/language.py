@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mapped, pieces
+from ._common import mapped, pieces, release_memory
 
 BITS = 13
 SIZE = 1 << BITS
@@ -92,8 +92,9 @@ class Centroids:
     def dense(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         out = np.zeros((len(rows), SIZE), np.float32)
         for i, (at, value) in enumerate(rows):
-            out[i, at] = value * self.idf[at]
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+            weighted = value * self.idf[at]
+            out[i, at] = weighted / max(1e-12, float(np.sqrt(weighted @ weighted)))
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected) of each text."""
@@ -114,7 +115,7 @@ def held_out(id_col: str, modulus: int = 4, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % modulus == rest, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_per_language: int = 2000, most_total: int = 8000) -> Centroids:
+def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_per_language: int = 1000, most_total: int = 4000) -> Centroids:
     """Centroids of the documents that are not held out."""
     known = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().orderBy(F.col("count").desc()).limit(most_total // 4).collect()}
@@ -137,10 +138,13 @@ def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
     taken = sample.transform(mapped, run, "id string, lang string, at binary, value binary").limit(2 * most_total).toArrow().to_pydict()
     order = sorted(range(len(taken["id"])), key=lambda i: (taken["id"][i], taken["lang"][i], taken["at"][i]))
     rows = [(np.frombuffer(taken["at"][i], np.int32), np.frombuffer(taken["value"][i], np.float32)) for i in order]
-    return Centroids(rows, [taken["lang"][i] for i in order])
+    found = Centroids(rows, [taken["lang"][i] for i in order])
+    del rows, taken
+    release_memory()
+    return found
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 2000) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 1000) -> DataFrame:
     """Per row: id_col, held_out, lang_pred, score, rejected."""
     model = fit_languages(docs, id_col, text_col, lang_col, most_per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_total / 4 languages of 4 centroids of SIZE numbers
@@ -159,7 +163,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.transform(mapped, run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
-def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 2000) -> DataFrame:
+def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 1000) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
     model = fit_languages(docs, id_col, text_col, lang_col, most_per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, mapped, pieces, texts
+from ._common import checkpointed, mapped, pieces, release_memory, texts
 from ._words import SPACED, Words, mix
 
 GRAM_BITS, WORD_BITS = 16, 17
@@ -185,7 +185,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     share = {k: n / max(1, (y == k).sum()) for k, n in counts.items()}
     y = y[order]
     share = np.array([share[k] for k in y.tolist()])
-    return Quality([rows[i] for i in order], y, share / (share.mean() if len(share) else 1.0))
+    found = Quality([rows[i] for i in order], y, share / (share.mean() if len(share) else 1.0))
+    del rows, taken
+    release_memory()
+    return found
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most_per_class: int = 4000) -> DataFrame:
