@@ -74,7 +74,7 @@ def k_means(vectors: np.ndarray, k: int, rounds: int = 15, seed: int = 3) -> np.
 class Centroids:
     """Centroids of each language and how near its own texts are to them."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], clusters: int = 4, reject: float = 0.5) -> None:
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], clusters: int = 4, reject: float = 0.25) -> None:
         self.langs = sorted(set(langs))
         if not rows:
             return
