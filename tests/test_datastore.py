@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import Datastore, LuceneEngine, QueryRequest, SqlEngine, run_query_with_engine
+from tidemark import Datastore, LuceneEngine, QueryRequest, SqlEngine, compare_by_logical_order, run_query_with_engine, to_public_record
 from tidemark.errors import (
     BinaryFormatError,
     ClosedDatastoreError,
@@ -198,6 +198,30 @@ def test_capacity(spark):
     assert sorted(ids(two.select(0, 9))) == [0, 5]
 
 
+def test_page_size(spark):
+    db = Datastore(spark, page_size=60, capacity={"max_size": 40, "policy": "turnover"})
+    with pytest.raises(QuotaExceededError, match="page"):
+        db.insert({"timestamp": 1, "payload": {"id": "x" * 30}})
+    db.insert({"timestamp": 1, "payload": {"id": 1}})
+    with pytest.raises(ConfigurationError):
+        Datastore(spark, page_size=36)
+
+
+def test_code_parity(spark):
+    for parity, n in ((False, 2), (True, 1)):
+        db = Datastore(spark, strict_code_parity=parity)
+        db.insert_many({"timestamp": 1, "payload": p} for p in ({"x": {"y": 1}}, {"x": None}, {}))
+        where = {"where": {"field": "x", "operator": "exists"}, "aggregates": [{"fn": "count", "as": "n"}]}
+        assert db.query_native(where).first().n == n
+
+
+def test_record_helpers():
+    a, b = ({"timestamp": t, "insertion_order": o, "payload": {"x": {"y": t}}, "encoded_bytes": 5} for t, o in ((1, 9), (2, 0)))
+    assert compare_by_logical_order(a, b) == -1 and compare_by_logical_order(b, a) == 1 and compare_by_logical_order(a, a) == 0
+    public = to_public_record(a)
+    assert public == {"timestamp": 1, "payload": {"x": {"y": 1}}} and public["payload"]["x"] is not a["payload"]["x"]
+
+
 def plain_turnover(rows, most):
     held = []
     for ts, order, n in rows:

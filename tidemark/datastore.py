@@ -39,6 +39,8 @@ from .sources.records import PayloadView
 from .sources.storage import SCHEMA, GenerationStore, resolve_path
 
 MOST_ORDER = 2**63 - 1
+#: Bytes of a page that its header and slot take.
+PAGE_OVERHEAD = 36
 
 
 class QueryEngineModule(Protocol):
@@ -70,7 +72,10 @@ def run_query_with_engine(db: Datastore, engine: QueryEngineModule, text: str, o
 
 
 class Datastore:
-    """location: memory or file; capacity: {max_size, policy}; auto_commit: {frequency, max_pending_bytes}; file_path or target for files."""
+    """location: memory or file; capacity: {max_size, policy}; auto_commit: {frequency, max_pending_bytes}; file_path or target for files.
+
+    page_size bounds single records (default: not bounded); strict_code_parity makes `exists` false for nested objects.
+    """
 
     def __init__(
         self,
@@ -83,9 +88,14 @@ class Datastore:
         auto_commit: Mapping[str, Any] | None = None,
         limits: QueryLimits | None = None,
         strict_code_parity: bool = False,
+        page_size: int | None = None,
     ) -> None:
         self.spark, self.limits, self._parity = spark, limits or QueryLimits(), strict_code_parity
         self._capacity = None if capacity is None else _Capacity(parse_size(capacity.get("max_size")), parse_policy(capacity.get("policy")))
+        if page_size is not None and (isinstance(page_size, bool) or not isinstance(page_size, int) or page_size <= PAGE_OVERHEAD):
+            raise ConfigurationError(f"page_size must be a whole number over {PAGE_OVERHEAD}")
+        #: With a page size, a record must fit one page, whatever the capacity.
+        self._most_record = None if page_size is None else page_size - PAGE_OVERHEAD
         self._lock = threading.RLock()
         self._engines: dict[str, QueryEngineModule] = {}
         self._listeners: list[Callable[[ErrorEvent], None]] = []
@@ -137,6 +147,8 @@ class Datastore:
             if self._next_order > MOST_ORDER:
                 raise IndexCorruptionError("insertion orders are used up")
             size = encoded_bytes(ts, payload)
+            if self._most_record is not None and size > self._most_record:
+                raise QuotaExceededError("the record doesn't fit a page")
             self._make_room(size)
             self._add(self._next_order, ts, payload, size)
             self._next_order += 1
