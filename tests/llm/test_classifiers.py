@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm.language import Centroids, counts, identify_languages, k_means, recognised, sparse
+from tidemark.llm.language import Centroids, counts, has_letters, identify_languages, k_means, recognised, sparse
 from tidemark.llm.quality import Quality, dual_descent, indicators, log_ratios, score_quality
 
 DATA = "/root/testdata/sf0.01"
@@ -39,7 +39,7 @@ def test_language_ignores_ids_and_labels(spark):
 
 
 def test_language_odd_rows(spark, docs_of):
-    rows = [(1, None), (2, ""), (3, "123 !?"), (4, "the cat and the dog"), (5, "words of the house"), (6, "漢字かな交じり文" * 5), (None, "the"), (7, "long words " * 50_000), (7, "x")]
+    rows = [(1, None), (2, ""), (3, "123 !? ½ ² Ⅳ ٣"), (4, "the cat and the dog"), (5, "words of the house"), (6, "漢字かな交じり文" * 5), (None, "the"), (7, "long words " * 50_000), (7, "x")]
     got = {(r.doc_id, r.lang_pred, r.rejected) for r in identify_languages(docs_of(rows)).collect()}
     assert {(1, "und", True), (2, "und", True), (3, "und", True)} <= got
     assert all(p == "en" for i, p, _ in got if i in (4, 5, 7, None))
@@ -54,6 +54,10 @@ def test_counts_do_not_depend_on_blocks():
     assert (counts(text, block=7) == counts(text)).all()
 
 
+def test_letters():
+    assert [has_letters(t) for t in (None, "", "½ 12_", "½ é", "漢", "x")] == [False, False, False, True, True, True]
+
+
 def test_distance_rejects():
     model = Centroids([sparse(t) for t in ("the house of the", "in the house", "la maison de la", "dans la maison")], ["en", "en", "fr", "fr"], clusters=2)
     (near, far) = model.predict(["the house", "ЖЖЖЖ ЩЩЩЩ"])

@@ -27,12 +27,18 @@ from ._common import mapped, pieces, release_memory
 
 BITS = 13
 SIZE = 1 << BITS
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _KEEP[128:] = np.arange(128, 256)
 
 
+def has_letters(text: str | None) -> bool:
+    """Whether a text has a letter; digits and number signs of any script are none."""
+    found = _WORDLIKE.search(text or "")
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def counts(text: str, block: int = 1 << 20) -> np.ndarray:
     """Counts of hashed n-grams, read block by block."""
     total = np.zeros(SIZE, np.int64)
@@ -99,7 +105,7 @@ class Centroids:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected) of each text."""
         out = [("und", 0.0, True)] * len(texts)
-        live = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
+        live = [i for i, t in enumerate(texts) if has_letters(t)] if self.langs else []
         for i in live:
             at, value = sparse(texts[i])
             weighted = value * self.idf[at]
@@ -127,7 +133,7 @@ def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sparse(t) if _LETTER.search(t) else None for t in batch.column(2).to_pylist()]
+            rows = [sparse(t) if has_letters(t) else None for t in batch.column(2).to_pylist()]
             kept = pa.array([r is not None for r in rows])
             rows = [r for r in rows if r is not None]
             yield pa.RecordBatch.from_arrays(
