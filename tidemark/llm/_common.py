@@ -64,6 +64,13 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly. A join then shuffles it by the key itself, so that adaptive execution may split a hot key of the other
+    side, which it can't where an aggregate by the key feeds the join.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def restrict(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """df joined to keys (checkpointed, unique): by broadcast up to BROADCAST_ROWS rows, else by shuffle."""
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, mapped, pieces, restrict, text_key, text_of, texts
+from ._common import checkpointed, mapped, pieces, restrict, spread, text_key, text_of, texts
 from ._words import SPACED, Words, grams, mix
 
 TREES, LABEL = 24, 6
@@ -225,10 +225,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: larger neighbours move to the least neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(spread(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         # small star: smaller neighbours, and the vertex, move to the least neighbour
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+        small = large.join(spread(low), "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
         new = checkpointed(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
         if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
             return new.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("root"))
@@ -270,7 +270,7 @@ def jaccard_join(
     classes = classes.drop("keys", "n").join(links, "text_key", "left").join(roots.withColumnRenamed("rep", "text_key"), "text_key", "left")
     classes = checkpointed(classes.select("set_key", "copies", "least", F.coalesce("root", "text_key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     leasts = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = classes.join(leasts, "root").select("set_key", "copies", "class_id", "links", F.col("root").alias("class_key"))
+    classes = classes.join(spread(leasts), "root").select("set_key", "copies", "class_id", "links", F.col("root").alias("class_key"))
     out = rows.select("id", "text_key", "set_key").join(classes, "set_key", "left")
     return out.select(
         F.col("id").alias(id_col),
