@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,11 @@ def tokenizer_file(name: str, folder: str = "/opt/tokenizers") -> str:
     return f"{folder}/{name}"
 
 
+def tokenizer_threads(most: int = 2) -> None:
+    """Threads of the tokenizers library in this process: by default it takes every core of the node, for each task."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mapped
+from ._common import mapped, tokenizer_threads
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = (TURN, TEXT, END, "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -67,6 +67,7 @@ def encoder(path: str):
     """The tokenizer with the turn marks as added tokens."""
     from tokenizers import AddedToken, Tokenizer
 
+    tokenizer_threads()
     found = Tokenizer.from_file(path)
     found.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (TURN, TEXT, END)])
     return found

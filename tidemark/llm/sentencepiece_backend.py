@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import mapped, pieces
+from ._common import mapped, pieces, tokenizer_threads
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -121,6 +121,7 @@ class Codec:
     def __init__(self, path: str, cache: int = 200_000) -> None:
         import sentencepiece
 
+        tokenizer_threads()
         with open(path, "rb") as file:
             self.model = Model(file.read())
         self.backend = self.model.tokenizer()
