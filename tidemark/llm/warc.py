@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, checkpointed, mapped, scratch
+from ._common import BROADCAST_ROWS, checkpointed, mapped, scratch, spread
 
 PIECE = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -179,7 +179,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     keyed = pages.withColumn("key", F.unhex(F.sha2("html", 256)))
     rows = checkpointed(keyed.filter(F.octet_length("html") >= least_bytes).select("page_id", "key"))
     firsts = rows.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    revisits = checkpointed(rows.join(firsts, "key").filter("page_id <> refers_to").distinct())
+    revisits = checkpointed(rows.join(spread(firsts), "key").filter("page_id <> refers_to").distinct())
     small = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return keyed.join(F.broadcast(revisits) if small else revisits.hint("merge"), ["page_id", "key"], "left").drop("key")
 
