@@ -1 +1 @@
-
+"""Rules on values: paths, patterns, validation, order."""

@@ -1 +1 @@
-
+"""Operators as Spark columns and frames."""

@@ -1 +1 @@
-
+"""Requests and their compilation."""
