@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm.decontaminate import FMIndex, find_contamination, suffix_array, without_contaminated
+from tidemark.llm.decontaminate import FMIndex, find_contamination, suffix_array, decontaminated
 
 
 def words_of(text):
@@ -59,9 +59,15 @@ def test_against_all_windows(spark, docs_of, seed, short, size):
     assert sorted((tuple(r)[:6] for r in got), key=str) == plain(rows, items)
     for r in got:
         assert sum(s.words for s in r.spans) == r.n_hit
-    clean = without_contaminated(docs_of(rows), benchmark)
+    clean = decontaminated(docs_of(rows), benchmark)
     assert clean.columns == docs_of(rows).columns
-    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((r[0] for r in plain(rows, items) if not r[5]), key=str)
+    kept = clean.collect()
+    assert sorted((r.doc_id for r in kept), key=str) == sorted((r[0] for r in plain(rows, items) if not r[5]), key=str)
+    hits = {(i, t): plain([(i, t)], items)[0][2] for i, t in rows}
+    for r in kept:
+        assert plain([(r.doc_id, r.text)], items)[0][2] == 0
+        assert hits.get((r.doc_id, r.text)) == 0 or r.n_chars == len(r.text)
+    assert sum((r.doc_id, r.text) in hits for r in kept) == sum(hits[x] == 0 for x in rows)
 
 
 def test_nothing(spark, docs_of):
@@ -88,3 +94,12 @@ def test_index():
         for p, a, b in zip(phrases, low, high, strict=True):
             want = [i for i in range(400 - n + 1) if (text[i : i + n] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_a_cut_that_brings_a_phrase_together(spark, docs_of):
+    phrase = " ".join(f"p{i}" for i in range(13))
+    half = phrase.split()
+    text = " ".join(["clean"] * 600 + half[:6] + half + half[6:] + ["end"] * 600)
+    benchmark = spark.createDataFrame([(1, phrase)], "item_id long, text string")
+    (row,) = decontaminated(docs_of([(1, text)]), benchmark).collect()
+    assert row.text.split() == ["clean"] * 600 + ["end"] * 600 and row.n_chars == len(row.text)

@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -219,7 +219,8 @@ class Judgement:
                 doc = np.searchsorted(shard.bounds, first, side="right") - 1
                 for d, w in np.unique(np.stack([doc, which]), axis=1).T.tolist():
                     self.items[d].update(names[w])
-        self.bounds, self.covered = shard.bounds, np.cumsum(change[:-1]) > 0
+        self.words, self.bounds, self.covered = shard, shard.bounds, np.cumsum(change[:-1]) > 0
+        self.begins = np.cumsum([0] + [len(t) + 1 for t in body])
         self.n_words = np.diff(shard.bounds)
         self.n_hit = np.diff(np.r_[0, np.cumsum(self.covered)][shard.bounds])
         self.contaminated = (self.n_hit > 0) & (share * self.n_hit >= self.n_words)
@@ -259,8 +260,34 @@ def find_contamination(
     return docs.select(id_col, text_col).transform(mapped, run, schema)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
+def without_passages(body: list[bytes], found: Judgement, which: list[int]) -> list[bytes]:
+    """The texts `which` without their removal spans, from each span's first word to its last."""
+    out = []
+    for i in which:
+        text, begin, first = body[i], int(found.begins[i]), int(found.bounds[i])
+        for at, n in reversed(removal_spans(found.covered[first : found.bounds[i + 1]])):
+            text = text[: found.words.starts[first + at] - begin] + text[found.words.ends[first + at + n - 1] - begin :]
+        out.append(text)
+    return out
+
+
+def cut_until_clean(body: list[bytes], found: Judgement, which: list[int], judge: Callable[[list[bytes]], Judgement]) -> dict[int, bytes]:
+    """Number -> text of the texts `which`, cut again should a cut have brought a phrase together."""
+    out: dict[int, bytes] = {}
+    numbers = which
+    while which:
+        body = without_passages(body, found, which)
+        out.update(zip(numbers, body, strict=True))
+        found = judge(body)
+        which = np.flatnonzero(found.n_hit).tolist()
+        numbers = [numbers[k] for k in which]
+    return out
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20, length_col: str = "n_chars") -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns. Rows with fewer hits lose the spans that are hit (and length_col,
+    if there is one, follows); all others stay as they are.
+    """
     folder = scratch(docs.sparkSession, "phrases")
     blocks = store_phrases(benchmark, folder, item_col, "text", window, block_bytes)
 
@@ -268,7 +295,23 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
         for batch in batches:
             for a, b in pieces(batch.column(text_col), shard_bytes):
                 part = batch.slice(a, b - a)
-                kept = part.filter(pa.array(~Judgement(texts(part.column(text_col)), folder, blocks, share).contaminated))
+                body = texts(part.column(text_col))
+                found = Judgement(body, folder, blocks, share)
+                some = np.flatnonzero(~found.contaminated & (found.n_hit > 0)).tolist()
+                edited = cut_until_clean(body, found, some, lambda x: Judgement(x, folder, blocks, share))
+                if edited:
+                    columns = {c: part.column(c) for c in part.schema.names}
+                    plain = part.column(text_col).to_pylist()
+                    lengths = part.column(length_col).to_pylist() if length_col in columns else None
+                    for i, text in edited.items():
+                        plain[i] = text.decode()
+                        if lengths is not None:
+                            lengths[i] = len(plain[i])
+                    columns[text_col] = pa.array(plain, part.column(text_col).type)
+                    if lengths is not None:
+                        columns[length_col] = pa.array(lengths, part.column(length_col).type)
+                    part = pa.RecordBatch.from_arrays(list(columns.values()), schema=part.schema)
+                kept = part.filter(pa.array(~found.contaminated))
                 if kept.num_rows:
                     yield kept
 

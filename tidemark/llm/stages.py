@@ -1,7 +1,8 @@
 """Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
 
-A filtering stage returns the input's columns, whatever they are called, and rows unchanged. Verdicts are counted per
-(doc_id, text key): where equal rows repeat, a stage that keeps one of a group keeps one row.
+A filtering stage returns the input's columns, whatever they are called, and rows unchanged, but for texts that
+lose benchmark passages. Verdicts are counted per (doc_id, text key): where equal rows repeat, a stage that keeps one of a group keeps one
+row. Null, empty and letterless texts go with language_id; null ids are kept like others; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import BROADCAST_ROWS, checkpointed, table, text_key, text_of, tokenizer_file
-from .decontaminate import without_contaminated
+from .decontaminate import decontaminated
 from .exact_dedup import exact_dedup
 from .language import recognised
 from .near_dedup import jaccard_join
@@ -69,8 +70,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated."""
-    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that are not contaminated; of the others with hits, the spans that are hit are cut out."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
