@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
+from ..shipping import ship
 
 _UNITS = {"B": 1, "KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}
 _TIMES = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}
@@ -95,6 +96,7 @@ def retain(records: DataFrame, most: int, policy: str = "strict", assume_in_orde
     thin = records.select("timestamp", "insertion_order", "encoded_bytes")
     if policy == "turnover" and (in_order(thin) if assume_in_order is None else assume_in_order):
         return _suffix(records.filter(F.col("encoded_bytes") <= most), most)
+    ship(records.sparkSession)
     one = thin.filter(F.col("encoded_bytes") <= most).repartition(1).sortWithinPartitions("insertion_order")
     kept = one.mapInArrow(lambda batches: _fold(batches, most, policy), "insertion_order long")
     return records.join(kept, "insertion_order", "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import TidemarkError, ValidationError
 from ..functions.validation import clone_payload, encoded_bytes, epoch_ms
+from ..shipping import ship
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,6 +36,7 @@ def check_records(rows: DataFrame, timestamp: str = "timestamp", payload: str =
     """(source_key, timestamp, encoded_bytes, payload, error) of rows with a JSON payload; error tells what breaks a rule."""
     if dict(rows.dtypes)[key] not in ("bigint", "int"):
         raise ValidationError("the source key must be a whole number")
+    ship(rows.sparkSession)
     made = rows.select(F.col(key).cast("long").alias("source_key"), timestamp, payload).mapInArrow(_checked, "source_key long, timestamp long, encoded_bytes long, body string, error string")
     return made.select("source_key", "timestamp", "encoded_bytes", F.parse_json("body").alias("payload"), "error")
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..datastore import Datastore
+from ..shipping import ship
 
 
 def continuous_append(stream: DataFrame, db: Datastore, checkpoint: str, every: str | None = None, **columns: str) -> StreamingQuery:
@@ -54,6 +55,7 @@ def continuous_turnover(stream: DataFrame, most: int, by: str = "stream") -> Dat
         state.update(tuple(map(list, zip(*held, strict=True))) if held else ([], [], []))
         yield pd.DataFrame(out, columns=["stream", "insertion_order", "evicted"])
 
+    ship(stream.sparkSession)
     rows = stream.select(F.col(by).cast("string").alias("stream"), "timestamp", "insertion_order", "encoded_bytes")
     state = "timestamps array<long>, orders array<long>, sizes array<long>"
     return rows.groupBy("stream").applyInPandasWithState(step, EVENTS, state, "update", GroupStateTimeout.NoTimeout)
