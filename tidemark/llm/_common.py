@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 #: Most rows whose keys may be broadcast (16-byte keys: about 50 MB built).
 BROADCAST_ROWS = 400_000
 
@@ -105,6 +107,7 @@ def bound_batches(spark: SparkSession) -> None:
 def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches of bounded bytes that releases memory when a task ends."""
     bound_batches(df.sparkSession)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
