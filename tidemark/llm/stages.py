@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, checkpointed, table, text_key, text_of, tokenizer_file
+from ._common import BROADCAST_ROWS, checkpointed, spread, table, text_key, text_of, tokenizer_file
 from .decontaminate import decontaminated
 from .exact_dedup import exact_dedup
 from .language import recognised
@@ -63,7 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sure = checkpointed(judged.groupBy("doc_id", "text_key", "class_key").agg(F.count(F.lit(1)).alias("n")))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
     best = sure.groupBy("class_key").agg(F.min(place).alias("best"))
-    marked = checkpointed(sure.withColumn("place", place).join(best, "class_key").withColumn("stays", F.col("place").eqNullSafe(F.col("best"))))
+    marked = checkpointed(sure.withColumn("place", place).join(spread(best), "class_key").withColumn("stays", F.col("place").eqNullSafe(F.col("best"))))
     key = text_key(text_of("text"))
     left = _without(docs, marked.filter("not stays").select("doc_id", "text_key"), key)
     return _one_each(left, marked.filter("stays and n > 1").select("doc_id", "text_key"), key)
