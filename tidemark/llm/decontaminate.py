@@ -231,7 +231,7 @@ class Judgement:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 3 << 20, block_bytes: int = 8 << 20
 ) -> DataFrame:
     """Per row: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word, words)."""
     folder = scratch(docs.sparkSession, "phrases")
@@ -284,7 +284,7 @@ def cut_until_clean(body: list[bytes], found: Judgement, which: list[int], judge
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 6 << 20, block_bytes: int = 8 << 20, length_col: str = "n_chars") -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 3 << 20, block_bytes: int = 8 << 20, length_col: str = "n_chars") -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns. Rows with fewer hits lose the spans that are hit (and length_col,
     if there is one, follows); all others stay as they are.
     """

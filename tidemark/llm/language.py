@@ -157,7 +157,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in pieces(batch.column(2), 4 << 20):
+            for a, b in pieces(batch.column(2), 2 << 20):
                 found = shared.value.predict(batch.column(2).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([bool(x[2]) for x in found])],
@@ -176,7 +176,7 @@ def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in pieces(batch.column(text_col), 4 << 20):
+            for a, b in pieces(batch.column(text_col), 2 << 20):
                 part = batch.slice(a, b - a)
                 kept = part.filter(pa.array([not x[2] for x in shared.value.predict(part.column(text_col).to_pylist())]))
                 if kept.num_rows:
