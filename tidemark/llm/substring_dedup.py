@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, mapped, pieces, restrict, text_key, text_of, texts
+from ._common import checkpointed, mapped, pieces, restrict, spread, text_key, text_of, texts
 from ._words import SPACED, Words, grams, mix, within
 
 WINDOW, ROUNDS, REACH, FIRST, LAST = 20, 3, 6, 6, 14
@@ -366,16 +366,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = checkpointed(whole(docs))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bucket_bytes))
-    firsts = rows.groupBy("text_key").agg(F.min("id").alias("first"))
+    copied = rows.groupBy("text_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copied = checkpointed(spread(copied))
     shared = checkpointed(shared_symbols(send_symbols(docs, buckets, shard_bytes), buckets))
     # texts with shared symbols, one row each: the first
-    some = rows.filter(F.col("n_words") >= WINDOW).join(firsts, "text_key").filter("id = first").select("text_key", "id").distinct()
-    some = checkpointed(some.join(distinct_keys(shared), F.substring("text_key", 1, 8) == F.col("short")).select("text_key", "id"))
+    some = rows.filter(F.col("n_words") >= WINDOW).join(copied, "text_key", "left").filter("first is null or id = first")
+    some = some.join(distinct_keys(shared), F.substring("text_key", 1, 8) == F.col("short")).select("text_key", "id")
+    some = checkpointed(spread(some).distinct())
     searched = restrict(docs, some, ["text_key", "id"])
     found = checkpointed(repeats(send_windows(searched, shared, buckets, shard_bytes), buckets))
     changed = cover(searched, found, buckets, shard_bytes).groupBy("text_key").agg(F.max("n_removed").alias("n_removed"), F.max("kept_sha256").alias("kept_sha256"))
-    out = rows.join(firsts, "text_key").join(changed, "text_key", "left")
-    gone = (F.col("id") > F.col("first")) & (F.col("n_words") >= WINDOW)
+    out = rows.join(spread(copied.join(changed, "text_key", "full")), "text_key", "left")
+    gone = F.coalesce(F.col("id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= WINDOW)
     return out.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
         "n_words",
