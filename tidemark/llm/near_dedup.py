@@ -52,19 +52,20 @@ def shingles(batch: list[bytes], n: int) -> list[np.ndarray]:
 
 
 _RNG = np.random.Generator(np.random.PCG64(40))
-_MUL = (_RNG.integers(0, 2**31, TREES * LABEL, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_ADD = _RNG.integers(0, 2**32, TREES * LABEL, dtype=np.uint32)[:, None]
+_MUL = _RNG.integers(0, 2**31, (TREES, LABEL), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 2**32, (TREES, LABEL), dtype=np.uint32)
 
 
-def labels(shingle_set: np.ndarray, block: int = 512) -> np.ndarray:
-    """MinHashes of a set, LABEL for each of TREES tries."""
+def labels(shingle_set: np.ndarray, depth: int = LABEL, block: int = 512) -> np.ndarray:
+    """MinHashes of a set, for each of TREES tries; only as much of a label as the search can reach."""
     low = (shingle_set >> np.uint64(32)).astype(np.uint32)
-    best = np.full(TREES * LABEL, 2**32 - 1, np.uint32)
+    best = np.full(TREES * depth, 2**32 - 1, np.uint32)
+    times, plus = _MUL[:, :depth].reshape(-1, 1), _ADD[:, :depth].reshape(-1, 1)
     for a in range(0, len(low), block):
-        h = low[None, a : a + block] * _MUL
-        h ^= _ADD
+        h = low[None, a : a + block] * times
+        h ^= plus
         np.minimum(best, h.min(axis=1), out=best)
-    return best.reshape(TREES, LABEL)
+    return best.reshape(TREES, depth)
 
 
 def prefix_keys(label: np.ndarray, depth: int) -> np.ndarray:
@@ -82,7 +83,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, depth: int) -> D
         for batch in batches:
             for a, b in pieces(batch.column(2), 2 << 20):
                 sets = shingles(texts(batch.column(2).slice(a, b - a)), n)
-                found = [labels(s) if len(s) else None for s in sets]
+                found = [labels(s, depth) if len(s) else None for s in sets]
                 keys = [None if x is None else prefix_keys(x, depth) for x in found]
                 both = [None if not len(s) else np.array([s.sum(), mix(s).sum() + np.uint64(len(s))], np.uint64).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
