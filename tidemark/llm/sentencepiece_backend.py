@@ -118,7 +118,7 @@ class Model:
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, cache: int = 120_000) -> None:
+    def __init__(self, path: str, cache: int = 240_000) -> None:
         import sentencepiece
 
         tokenizer_threads()
