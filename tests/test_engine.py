@@ -141,6 +141,18 @@ def test_projection(spark):
     assert default.columns == ["timestamp", r"a\.b", 'd"d', "q'q", r"r\\z"]
 
 
+def test_default_projection_takes_every_key_or_none(spark):
+    """More keys than columns can be had are refused, not cut."""
+
+    def view(n):
+        body = [(k, "{" + ",".join(f'"k{i}":{i}' for i in range(k * 200, min(n, (k + 1) * 200))) + ',"timestamp":1,"nested":{}}') for k in range(-(-n // 200))]
+        return PayloadView(spark.createDataFrame(body, "timestamp long, body string").selectExpr("timestamp", "timestamp AS insertion_order", "parse_json(body) AS payload"))
+
+    assert view(4096).default_fields() == ["timestamp", *sorted(f"k{i}" for i in range(4096))]
+    with pytest.raises(QueryValidationError, match="more than 4096"):
+        execute(request_from({}), view(4097))
+
+
 def test_groups(db):
     request = {"groupBy": ["x"], "aggregates": [{"fn": "count", "as": "n"}, {"fn": "count", "field": "x"}, {"fn": "min", "field": "timestamp", "as": "t"}], "orderBy": [{"field": "x"}]}
     got = [(python_of(r.x), r.n, r.count_x) for r in db.query_native(request).collect()]

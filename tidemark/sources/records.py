@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import QueryValidationError
 from ..functions.paths import split_path, variant_at
 
 NUMBER_TAGS = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+#: Columns that the default projection of schemaless records can have.
+MOST_KEYS = 4096
 
 
 @dataclass(frozen=True)
@@ -174,13 +177,16 @@ class PayloadView(RecordView):
         )
 
     def default_fields(self) -> list[str]:
-        """timestamp and every top-level key that holds a scalar or null somewhere (reads the data)."""
+        """timestamp and every top-level key that holds a scalar or null somewhere (reads the data); refused beyond MOST_KEYS keys."""
         entries = self.frame.select(F.explode(F.expr("cast(payload as map<string,variant>)")).alias("key", "value"))
         tag = F.schema_of_variant("value")
-        keys = entries.filter(~(tag.startswith("OBJECT") | tag.startswith("ARRAY"))).select("key").distinct().limit(4097).collect()
+        scalars = entries.filter(~(tag.startswith("OBJECT") | tag.startswith("ARRAY")) & (F.col("key") != "timestamp"))
+        keys = scalars.select("key").distinct().limit(MOST_KEYS + 1).collect()
+        if len(keys) > MOST_KEYS:
+            raise QueryValidationError(f"records have more than {MOST_KEYS} top-level keys; name the fields to select")
         from ..functions.paths import escape_segment
 
-        return ["timestamp", *sorted(escape_segment(r[0]) for r in keys if r[0] != "timestamp")]
+        return ["timestamp", *sorted(escape_segment(r[0]) for r in keys)]
 
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
