@@ -36,6 +36,18 @@ def test_query(spark, sql, name):
     assert sorted(names) == columns and got == want
 
 
+@pytest.mark.parametrize("name", ["project_default", "order_mixed_types", "order_mixed_types_desc", "order_multi", "distinct_keep_first"])
+def test_whole_query_in_order(spark, sql, name):
+    """All rows come, one after the other as in SQL."""
+    frame = records.queries()[f"{name}_whole"](spark, DATA)
+    found = sql.execute(records.oracle_sql()[f"{name}_whole"])
+    names = [c[0] for c in found.description]
+    want = [tuple(shown(r[names.index(c)]) for c in frame.columns) for r in found.fetchall()]
+    assert [tuple(map(shown, r)) for r in frame.collect()] == want
+    every = sql.execute("SELECT count(DISTINCT (event_type, user_id)) FROM events" if name.startswith("distinct") else "SELECT count(*) FROM events").fetchone()[0]
+    assert len(want) == every
+
+
 def test_entry_points(spark):
     rows = entry_points.entry(spark)
     assert rows.columns == ["_id", "user_id", "value"] and rows.count() >= 0

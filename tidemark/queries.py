@@ -118,6 +118,10 @@ def _define() -> None:
         _on_events("""SELECT event_type, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, timestamp, event_id) AS n FROM e)
             WHERE n = 1 ORDER BY value DESC, timestamp, event_id LIMIT 40"""),
     )
+    # the same requests over all rows
+    for name in ("project_default", "order_mixed_types", "order_mixed_types_desc", "order_multi", "distinct_keep_first"):
+        view, request, sql, _ = NATIVE[name]
+        _native(f"{name}_whole", view, {k: v for k, v in request.items() if k != "limit"}, sql.rpartition(" LIMIT ")[0])
     every = [{"fn": "count", "as": "n"}, {"fn": "count", "field": "value", "as": "n_value"}, *({"fn": f, "field": "value"} for f in ("min", "max", "sum", "avg")), {"fn": "percentile_cont", "field": "value", "percentile": 0.9, "as": "p90"}]
     totals = "count(*) AS n, count(value) AS n_value, round(min(value), 4) AS min_value, round(max(value), 4) AS max_value, round(sum(value), 2) AS sum_value, round(avg(value), 4) AS avg_value, round(quantile_cont(value, 0.9), 4) AS p90"
     figures = ("min_value", "max_value", "sum_value", "avg_value", "p90")
