@@ -60,6 +60,16 @@ def test_beyond_broadcast(docs_of, monkeypatch):
     assert sorted(map(tuple, substring_dedup(docs_of(rows)).collect()), key=str) == plain(rows)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 100])
+@pytest.mark.parametrize("doc", [None, 7])
+def test_texts_that_share_an_id_are_apart(docs_of, doc, size):
+    """A passage at the same start of two texts stays in one of them only."""
+    passage = " ".join(f"w{i}" for i in range(25))
+    rows = [(doc, passage + " and one"), (doc, passage + " or two")]
+    got = substring_dedup(docs_of(rows), shard_bytes=size, bucket_bytes=size).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(doc, 27, 0), (doc, 27, 25)]
+
+
 def test_nothing(docs_of):
     assert substring_dedup(docs_of([])).collect() == []
 

@@ -1,7 +1,7 @@
 """Substring dedup by recompression.
 
-A word inside a window of `WINDOW` consecutive words whose sequence also starts earlier (smaller id, or same document and earlier
-start) is removed; windows are judged on the input.
+A word inside a window of `WINDOW` consecutive words whose sequence also starts earlier (smaller id, then earlier start, then smaller
+text key, for texts that share an id or have none) is removed; windows are judged on the input.
 
 Recompression: in each of three rounds every symbol falls on one of two sides by a bit of its name, and a symbol of
 the left side pairs with a following one of the right side. A pair's name is a hash of its parts' names, so
@@ -253,15 +253,15 @@ SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32())] + [(c, pa.binary
 SENT_SQL = "kind int, bucket int, ids binary, keys binary, window binary, check binary, values binary"
 
 
-def later(window: np.ndarray, check: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, whether first of its window, whether a repeat), sorted by window, id and start."""
-    order = np.lexsort((starts, ids, check, window))
+def later(window: np.ndarray, check: np.ndarray, ids: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, whether first of its window, whether a repeat), sorted by window, id, start and text key."""
+    order = np.lexsort((keys, starts, ids, check, window))
     if not len(order):
         return order, np.empty(0, bool), np.empty(0, bool)
-    w, c, i, s = window[order], check[order], ids[order], starts[order]
+    w, c, i, s, k = window[order], check[order], ids[order], starts[order], keys[order]
     first = np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])]
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
-    return order, first, (i != i[head]) | (s != s[head])
+    return order, first, (i != i[head]) | (s != s[head]) | (k != k[head])
 
 
 def send_windows(docs: DataFrame, shared: DataFrame, buckets: int, shard_bytes: int) -> DataFrame:
@@ -283,7 +283,7 @@ def send_windows(docs: DataFrame, shared: DataFrame, buckets: int, shard_bytes:
             owner = owner[wanted]
             start = (wanted - words.bounds[owner]).astype(np.uint64)
             number = np.array(ids, np.int64)[owner]
-            order, first, repeat = later(window, check, number, start)
+            order, first, repeat = later(window, check, number, start, key[owner])
             if (out := pair_rows(1, key[owner[order[repeat]]], start[order[repeat]], text_place(key[owner[order[repeat]]], buckets))) is not None:
                 yield pa.RecordBatch.from_pylist(out.to_pylist(), SENT)
             # in text order, so that ids and keys compress
@@ -304,7 +304,7 @@ def repeats(sent: DataFrame, buckets: int) -> DataFrame:
             count = [i for i, k in enumerate(kind) if k == 0]
             read = lambda column, dtype: np.frombuffer(b"".join(column[i] for i in count), dtype)
             start = read(values, np.uint32).astype(np.uint64)
-            order, _, repeat = later(read(window, _U), read(check, np.uint16), read(ids, np.int64), start)
+            order, _, repeat = later(read(window, _U), read(check, np.uint16), read(ids, np.int64), start, read(keys, _U))
             found = order[repeat]
             sure = [i for i, k in enumerate(kind) if k == 1]
             key = np.r_[read(keys, _U)[found], np.frombuffer(b"".join(keys[i] for i in sure), _U)]
