@@ -1,14 +1,14 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by banded MinHash LSH, to which an LSH forest of fixed recall reduces, with exact verification.
 
 A text is the set of its runs of `n` white-space separated words (all its words if fewer). Texts with equal sets form one class,
-joined once. For every class each of `trees` tries holds a label of MinHashes; two classes match in a trie at the
-depth to which their labels agree. Matched prefixes start at the full label and are shortened until the recall of a pair at the
-threshold, 1 - (1 - threshold**depth)**trees, reaches the target; that depth is where the search may stop, for
-shorter prefixes could only add pairs under the threshold. Within a trie node the labels are sorted, so longer
-matches stand together.
-
-Nodes that hold one class end there. The members of the others are dealt, in sorted order, into blocks of at
-most `block` classes; a node of many members becomes pairs of blocks, so no task gets a whole node, and counting
+joined once. In a forest of TREES tries with labels of LABEL MinHashes the search would shorten matched prefixes from the full label
+until the recall of a pair at the threshold, 1 - (1 - threshold**depth)**TREES, reaches the target. That depth is the same for
+all data (4 for recall 0.99999 at 0.8), and a match of a longer prefix is a match of this one too, so only it is built: TREES bands
+of `depth` MinHashes, each hashed to one 64-bit key, the trie node. No labels are sorted, no trie is walked and longer
+prefixes are not matched.
+
+Nodes that hold one class end there. The members of the others are dealt, by a hash of the text key, into blocks of about
+`block` classes; a node of many members becomes pairs of blocks, so no task gets a whole node, and counting
 stays exact. A pair that meets in several tries counts in the first one only; texts go only to blocks that
 own such a pair. Every pair is verified with the whole shingle sets; what leaves a task is, per class and block, a number of links and one edge per
 class of a spanning forest, never the pairs. Links form connected components by alternating large-star and
