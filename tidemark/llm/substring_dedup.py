@@ -8,7 +8,8 @@ the left side pairs with a following one of the right side. A pair's name is a h
 equal content has equal names in all tasks and no naming table is exchanged. The elements of a run are on one side and never pair with
 each other, so a run keeps a border at each of its places. Whether round three leaves a border before word p depends on words
 p-4 .. p+3 only, and borders are at most eight words apart. So each window has borders among its places 6 .. 14, and
-the least name of 12 words around such a border is the same wherever the window occurs: the window's symbol.
+the least hash of 12 raw words around such a border is the same wherever the window occurs: the window's symbol. The names of
+the rounds only place the borders; they are not compared between texts.
 
 1. Tasks send each text's symbols, by hash bucket, once per shard of texts; symbols that two different texts share, or that one
    text holds twice, come back. A window whose symbol is not shared occurs once.
