@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pytest
 
-from tidemark.llm.sentencepiece_backend import BYTE, CONTROL, NORMAL, UNKNOWN, Codec, codec, encode_texts
+from tidemark.llm.sentencepiece_backend import BYTE, CONTROL, NORMAL, UNKNOWN, Codec, ParityError, codec, encode_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HARD = ["", " ", "  ", " a", "a ", "a  b", "\n", "a\n\nb", "é́ 漢字 😀👩‍👩‍👧", "<s></s><unk><0x0A>", "\x00\x01", "x" * 3000, "the of and", "\t tab", "a" * 7 + " " + "b" * 9, "ﬁ ² Ⅳ", "  ", " " * 40 + "x", "-" * 100]
@@ -15,15 +15,56 @@ def test_parity_and_round_trip():
     made = codec(MODEL)
     rng = random.Random(1)
     texts = HARD + ["".join(rng.choice("ab cé\n▁漢.,'") for _ in range(rng.randrange(40))) for _ in range(400)]
-    for text, (ids, odd) in zip(texts, made.encode(texts), strict=True):
+    for text, ids in zip(texts, made.encode(texts), strict=True):
         ids = np.frombuffer(ids, np.int32)
         assert ids.tolist() == made.library.encode(text), repr(text)
-        assert odd == 0
         assert made.decode(ids) == made.library.decode(ids.tolist())
         if "▁" not in text:
             assert made.decode(ids) == text
 
 
+def test_parity_on_every_word_of_the_documents(spark):
+    """All words of the test documents, each checked against the library."""
+    made = Codec(MODEL, parity=1)
+    made.encode([r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()])
+    assert len(made.words) > 1000
+
+
+class Wrong:
+    """A backend whose ids are wrong."""
+
+    class Ids:
+        ids = [1000]
+
+    def encode_batch(self, strings, add_special_tokens):
+        return [self.Ids() for _ in strings]
+
+
+def test_ids_come_from_the_backend():
+    made = Codec(MODEL, parity=1 << 33)  # no string is checked but one whose CRC-32 is 0
+    made.backend = Wrong()
+    assert made.encode([" two  words"]) == [np.array([1000], np.int32).tobytes()]
+
+
+def test_a_difference_ends_the_job():
+    made = Codec(MODEL, parity=1)
+    made.backend = Wrong()
+    with pytest.raises(ParityError, match="two  words"):
+        made.encode([" two  words"])
+    made.opens[:] = True
+    with pytest.raises(ParityError, match="word"):
+        made.encode(["word"])
+
+
+def test_the_sample_is_a_share_of_the_strings():
+    made = Codec(MODEL)
+    checked = []
+    plain = made.library.encode
+    made.library = type("Counting", (), {"encode": lambda _, x, num_threads: checked.extend(x) or plain(x)})()
+    made.encode([f"word{i}" for i in range(20_000)])
+    assert 0.5 < len(checked) / (20_000 / made.parity) < 2
+
+
 def test_cache_is_bounded():
     small = Codec(MODEL, cache=10)
     for k in range(5):
@@ -60,10 +101,10 @@ def test_unigram_model(tmp_path, strip, prefix):
     body += message((2, message((3, 1), (35, 1))), (3, message((1, b"identity"), (3, prefix), (4, strip), (5, 1))))
     path = tmp_path / "m.model"
     path.write_bytes(body)
-    made = Codec(str(path))
+    made = Codec(str(path), parity=1)
     rng = random.Random(2)
     texts = [" ab  ba ", "é", "abab c", ""] + ["".join(rng.choice("abc é") for _ in range(12)) for _ in range(200)]
-    for text, (ids, _) in zip(texts, made.encode(texts), strict=True):
+    for text, ids in zip(texts, made.encode(texts), strict=True):
         assert np.frombuffer(ids, np.int32).tolist() == made.library.encode(text), repr(text)
 
 

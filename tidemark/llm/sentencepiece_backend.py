@@ -6,17 +6,20 @@ at load), no piece crosses a word start, so a text's ids are those of its words
 word of a batch is encoded once, in multithreaded batches, and kept in a bounded cache. Models without that property are
 encoded text by text.
 
-Parity: each encoded string is also encoded by the sentencepiece library; if the two differ, the library's ids are used and the
-words count in n_fallback. Decoding starts from the ids alone, by a table of each piece's bytes.
+The ids are the tokenizers library's. Parity: of the strings that are encoded (words, or texts that are encoded whole) those whose CRC-32 is
+divisible by `parity` are also encoded by the sentencepiece library, which must give the same ids: a difference ends the job with
+a ParityError that names the string. The sample depends on the strings alone, so it is the same share, and the same
+strings, at every size. Decoding starts from the ids alone, by a table of each piece's bytes.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; whole texts are encoded whatever their length; repeated
-rows each give a row; an empty table gives an empty result.
+Defined cases: null and empty texts have no ids and decode to the empty text; whole texts are encoded whatever their length; null ids are
+kept; repeated rows each give a row; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -115,10 +118,14 @@ class Model:
         return found
 
 
+class ParityError(ValueError):
+    """The rebuilt model and the sentencepiece library give different ids."""
+
+
 class Codec:
-    """Encoder and decoder of one model file."""
+    """Encoder and decoder of one model file. One string in `parity` is checked against the sentencepiece library."""
 
-    def __init__(self, path: str, cache: int = 240_000) -> None:
+    def __init__(self, path: str, cache: int = 240_000, parity: int = 64) -> None:
         import sentencepiece
 
         tokenizer_threads()
@@ -126,7 +133,7 @@ class Codec:
             self.model = Model(file.read())
         self.backend = self.model.tokenizer()
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.most, self.words, self.odd = cache, {}, set()
+        self.most, self.words, self.parity = cache, {}, parity
         self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         shown = [self._bytes(p, t) for p, _, t in self.model.pieces]
         self.lengths = np.array([len(x) for x in shown], np.int64)
@@ -140,48 +147,55 @@ class Codec:
             return " ⁇ ".encode()
         return bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode()
 
-    def both(self, strings: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
-        """Ids of each string and whether the two libraries agree on them."""
-        wanted = self.library.encode(strings, num_threads=1)
-        for found, right in zip(self.backend.encode_batch(strings, add_special_tokens=False), wanted, strict=True):
-            ids = np.array(found.ids, np.int32)
-            right = np.array(right, np.int32)
-            yield right, np.array_equal(ids, right)
+    def backend_ids(self, strings: list[str]) -> list[np.ndarray]:
+        """Ids of each string, by the tokenizers library, in a multithreaded batch."""
+        return [np.array(x.ids, np.int32) for x in self.backend.encode_batch(strings, add_special_tokens=False)]
+
+    def check(self, strings: list[str], found: list[bytes]) -> None:
+        """Raises ParityError unless the sentencepiece library gives the same ids for the strings of the sample."""
+        some = [i for i, x in enumerate(strings) if zlib.crc32(x.encode()) % self.parity == 0]
+        for i, right in zip(some, self.library.encode([strings[i] for i in some], num_threads=1), strict=True):
+            if np.array(right, np.int32).tobytes() != found[i]:
+                raise ParityError(f"the backend and the sentencepiece library differ on {strings[i][:200]!r}")
 
     def learn(self, words: list[str]) -> None:
         """Puts words (without marker) into the cache; runs of 512 words are encoded as one string, 16 runs at once."""
         for begin in range(0, len(words), 512 * 16):
             some = words[begin : begin + 512 * 16]
             runs = [some[i : i + 512] for i in range(0, len(some), 512)]
-            for run, (ids, same) in zip(runs, self.both([" ".join(x) for x in runs]), strict=True):
+            made: list[bytes] = []
+            for run, ids in zip(runs, self.backend_ids([" ".join(x) for x in runs]), strict=True):
                 cuts = np.flatnonzero(self.opens[ids])
                 if len(cuts) != len(run):  # not reached while by_word holds
                     raise ValueError("a piece crosses a word start")
                 ends = np.r_[cuts[1:], len(ids)]
                 raw = ids.tobytes()
-                self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(run, cuts.tolist(), ends.tolist(), strict=True))
-                if not same:
-                    self.odd.update(run)
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, int]]:
-        """For each text its ids (little-endian int32) and how many of its words are from the library instead."""
-        if not self.model.by_word:
-            return [(ids.tobytes(), 0 if same else 1) if t else (b"", 0) for t, (ids, same) in zip(texts, self.both(texts), strict=True)]
+                made += [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+            self.check(some, made)
+            self.words.update(zip(some, made, strict=True))
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are encoded as they are."""
+        found = [x.tobytes() for x in self.backend_ids(texts)]
+        self.check(texts, found)
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian int32."""
+        out = [b""] * len(texts)
         plain, rest = {}, {}
         for i, text in enumerate(texts):
             if text:
-                simple = MARK not in text and "  " not in text and text[0] != " " and text[-1] != " "
+                simple = self.model.by_word and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " "
                 (plain if simple else rest)[i] = text.split(" ") if simple else text
         if len(self.words) > self.most:
             self.words.clear()
-            self.odd.clear()
         words = self.words
         self.learn([w for w in set(chain.from_iterable(plain.values())) if w not in words])
-        out = [(b"", 0)] * len(texts)
         for i, split in plain.items():
-            out[i] = (b"".join(map(words.__getitem__, split)), sum(w in self.odd for w in split) if self.odd else 0)
-        for (i, _), (ids, same) in zip(rest.items(), self.both(list(rest.values())), strict=True):
-            out[i] = (ids.tobytes(), 0 if same else 1)
+            out[i] = b"".join(map(words.__getitem__, split))
+        for i, ids in zip(rest, self.whole(list(rest.values())), strict=True):
+            out[i] = ids
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -203,7 +217,7 @@ def codec(path: str) -> Codec:
 
 
 def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", at_once: int = 1 << 20) -> DataFrame:
-    """Per row: id_col, n_tokens, ids, n_fallback, decoded_sha256 (of the text decoded from the ids), round_trip."""
+    """Per row: id_col, n_tokens, ids, decoded_sha256 (of the text decoded from the ids), round_trip."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,24 +226,23 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             for a, b in pieces(batch.column(1), at_once):
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
                 coded = model.encode(texts)
-                flat = np.frombuffer(b"".join(x for x, _ in coded), np.int32)
-                ends = np.cumsum([len(x) // 4 for x, _ in coded])
-                back = [model.decode(flat[e - len(x) // 4 : e]) for e, (x, _) in zip(ends.tolist(), coded, strict=True)]
+                flat = np.frombuffer(b"".join(coded), np.int32)
+                ends = np.cumsum([len(x) // 4 for x in coded])
+                back = [model.decode(flat[e - len(x) // 4 : e]) for e, x in zip(ends.tolist(), coded, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
-                        pa.array([len(x) // 4 for x, _ in coded], pa.int64()),
+                        pa.array([len(x) // 4 for x in coded], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat)),
-                        pa.array([n for _, n in coded], pa.int64()),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]),
                         pa.array([x == y for x, y in zip(back, texts, strict=True)]),
                     ],
-                    [id_col, "n_tokens", "ids", "n_fallback", "decoded_sha256", "round_trip"],
+                    [id_col, "n_tokens", "ids", "decoded_sha256", "round_trip"],
                 )
 
     def forgetful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         codec(model_path).words.clear()
 
-    schema = f"`{id_col}` {kind}, n_tokens long, ids array<int>, n_fallback long, decoded_sha256 string, round_trip boolean"
+    schema = f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean"
     return docs.select(id_col, text_col).transform(mapped, forgetful, schema)
