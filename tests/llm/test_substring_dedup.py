@@ -5,8 +5,8 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm._words import SPACED, Words, grams
-from tidemark.llm.substring_dedup import WINDOW, borders, substring_dedup, window_symbols
+from tidemark.llm._words import SPACED, Words
+from tidemark.llm.substring_dedup import FAR, ROUNDS, WINDOW, Names, Stretches, Symbols, substring_dedup, surviving
 
 
 def plain(rows):
@@ -74,21 +74,67 @@ def test_nothing(docs_of):
     assert substring_dedup(docs_of([])).collect() == []
 
 
-def test_symbols_depend_on_the_window_only():
-    rng = random.Random(4)
-    for few in (2, 5, 300):
-        texts = [" ".join(str(rng.randrange(few)) for _ in range(rng.randrange(0, 200))).encode() for _ in range(60)]
-        words = Words(texts, SPACED)
-        symbols, good, _ = window_symbols(words)
-        windows = grams(words.hashes, WINDOW)
-        seen = {}
-        for w, s in zip(windows[good].tolist(), symbols[good].tolist(), strict=True):
-            assert s != 2**64 - 1
-            assert seen.setdefault(w, s) == s
-
-
-def test_borders_are_at_most_eight_words_apart():
-    rng = random.Random(5)
-    words = Words([" ".join(str(rng.randrange(9)) for _ in range(5000)).encode()], SPACED)
-    at = np.flatnonzero(borders(words.hashes, words.bounds))
-    assert np.diff(np.r_[at, 5000]).max() <= 8
+@pytest.mark.parametrize("few", [1, 2, 3, 30])
+def test_equal_regions_hold_equal_symbols(few):
+    """Wherever the words of a symbol's region come again, the symbol does."""
+    rng = random.Random(few)
+    texts = [[str(rng.randrange(few)) for _ in range(rng.randrange(0, 90))] for _ in range(40)]
+    texts += [texts[i][3:60] + texts[i + 1][:9] for i in range(20)]
+    words = Words([" ".join(t).encode() for t in texts], SPACED)
+    flat = [w for t in texts for w in t]
+    owner = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
+    symbols = Symbols(words)
+    for _ in range(ROUNDS):
+        symbols.round()
+        ends = np.r_[symbols.at[1:], len(words)].tolist()
+        there = dict(zip(symbols.at.tolist(), zip(ends, symbols.names.tolist(), strict=True), strict=True))
+        assert all(owner[a] == owner[e - 1] for a, (e, _) in there.items())
+        named = {}
+        for a, (e, name) in there.items():
+            assert named.setdefault(name, flat[a:e]) == flat[a:e]
+        wanted = {}
+        for a, low, high in zip(symbols.at.tolist(), symbols.low.tolist(), symbols.high.tolist(), strict=True):
+            if 0 <= low and high < FAR:
+                assert low <= a and there[a][0] <= high and owner[low] == owner[high - 1]
+                wanted.setdefault(tuple(flat[low:high]), (a - low, there[a][0] - a, there[a][1]))
+        for size in {len(w) for w in wanted}:
+            for p in range(len(flat) - size + 1):
+                if owner[p] == owner[p + size - 1] and (hit := wanted.get(tuple(flat[p : p + size]))):
+                    assert there.get(p + hit[0]) == (p + hit[0] + hit[1], hit[2])
+
+
+def shard_of(texts):
+    return Stretches(np.arange(len(texts)), np.arange(len(texts)).astype(np.uint64), np.zeros(len(texts), np.int64), [t.encode() for t in texts])
+
+
+def ask(shard, level):
+    """The answers to a shard's names when there is no other shard."""
+    names = Names(shard, level, 3)
+    return [{"bucket": b, "n": int(n), "mask": bytes(-(-int(n) // 8))} for b in range(3) if (n := (names.once & (names.bucket == b)).sum())]
+
+
+def test_rounds_leave_the_repeated_windows_and_few_others():
+    rng = random.Random(3)
+    shared = [f"s{rng.randrange(50)}" for _ in range(60)]
+    texts = [[f"w{rng.randrange(400)}" for _ in range(300)] for _ in range(20)]
+    for i in (4, 9):
+        texts[i][100:100] = shared
+    shard = shard_of([" ".join(t) for t in texts]).cut(shard_of([" ".join(t) for t in texts]).windows())
+    for level in range(1, ROUNDS + 1):
+        shard = surviving(shard, level, 3, ask(shard, level))
+        for i in (4, 9):
+            assert any(o <= 100 and o + len(b.split()) >= 160 for x, o, b in zip(shard.ids.tolist(), shard.offsets.tolist(), shard.bodies, strict=True) if x == i)
+    assert shard.windows().sum() < 2 * (41 + 8)
+
+
+def test_shards_travel_whole():
+    shard = shard_of(["a b\nc", "é " * 30])
+    back = Stretches.unpack(shard.pack())
+    assert back.bodies == shard.bodies and all((getattr(back, c) == getattr(shard, c)).all() for c in ("ids", "keys", "offsets"))
+
+
+def test_copies_without_ids(docs_of):
+    """Rows that repeat id and text are one occurrence, however many; the text's other rows go."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, passage)] * 5 + [(3, passage + " x"), (3, passage + " x"), (8, passage + " x"), (9, " ".join(f"v{i}" for i in range(30)))] * 2
+    assert sorted(map(tuple, substring_dedup(docs_of(rows)).collect()), key=str) == plain(rows)
