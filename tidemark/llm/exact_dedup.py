@@ -3,8 +3,8 @@
 A Misra-Gries pass (the engine's frequent-items aggregate) names at most 1/support digests that
 can hold more than that share of the rows. Their exact counts are taken with a map-side combine; the
 verified winners, at most 1/support rows, are broadcast and settle their copies without a
-shuffle. No remaining group holds more than that share, so the rest goes through an
-ordinary shuffle by digest.
+shuffle. No remaining group holds more than that share; the rest goes through an ordinary shuffle by digest: groups
+are aggregated with a map-side combine and joined back, so no task holds a group.
 
 Texts are read once: later steps work on the checkpointed ids and digests.
 
@@ -15,10 +15,10 @@ not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, text_of
+from ._common import checkpointed, spread, text_of
 
 
 def heavy_digests(rows: DataFrame, support: float) -> DataFrame:
@@ -42,8 +42,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = checkpointed(heavy_digests(rows, support))
     heavy = rows.join(F.broadcast(winners), "digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    group = Window.partitionBy("digest")
-    rest = rest.withColumns({"group_size": F.count(F.lit(1)).over(group), "best": F.max(F.struct("id", "row")).over(group)})
+    groups = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "row")).alias("best"))
+    rest = rest.join(spread(groups), "digest")
     return heavy.select(*rest.columns).unionByName(rest).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
