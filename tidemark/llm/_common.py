@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,10 +22,14 @@ BROADCAST_ROWS = 400_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own setting; a temporary one only where none is set."""
+    """Shared folder for checkpoints: the cluster's own setting. Where none is set, a temporary one if all tasks run in this
+    process, else an error: other nodes would not see a folder of this machine.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if root is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidemark-"))
     return root or context.getCheckpointDir()
 
@@ -85,6 +89,31 @@ def restrict(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "le
     return df.join(F.broadcast(keys) if small else keys.hint("merge"), on, how)
 
 
+def bounded_sample(rows: DataFrame, group: str, most: int, total: int | None = None) -> DataFrame:
+    """At most `most` rows of each group (with `total`: at most that many in all, shared evenly), and one at least: those with the least
+    `place` (a hash, a long of 0 or more). Rows of equal group and place count as one. More groups than total are a ValueError.
+
+    One pass with partial aggregates estimates how many places a group has; only rows up to a place that leaves about `most` (and
+    some to spare) are shuffled.
+    """
+    sizes = checkpointed(rows.groupBy(group).agg(F.approx_count_distinct("place").alias("__places"), F.min("place").alias("__least")))
+    if total is not None:
+        groups = sizes.count()
+        if groups > total:
+            raise ValueError(f"more than {total} groups of {group}")
+        most = min(most, total // max(1, groups))
+    spare = most * 1.2 + 4 * most**0.5 + 16
+    limit = F.when(F.col("__places") <= spare, F.lit(2**63 - 1)).otherwise(F.greatest("__least", (F.lit(spare) / F.col("__places") * F.lit(2.0**63)).cast("long")))
+    some = rows.join(F.broadcast(sizes.select(group, limit.alias("__limit"))), group).filter("place <= __limit").drop("__limit")
+    nth = F.row_number().over(Window.partitionBy(group).orderBy("place"))
+    return some.dropDuplicates([group, "place"]).withColumn("__nth", nth).filter(F.col("__nth") <= most).drop("__nth")
+
+
+def place_of(*columns: Column) -> Column:
+    """A hash of columns that orders rows for bounded_sample."""
+    return F.xxhash64(*columns, F.lit(7)).bitwiseAND(F.lit(2**63 - 1))
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system: a worker process lives on after its task, beside other stages' workers."""
     gc.collect()

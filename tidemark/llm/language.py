@@ -5,8 +5,9 @@ N-grams: hashed bytes of lower-cased text, one to three at a time, everything bu
 centroids. A text gets the language of the nearest centroid; `score` is that cosine. A text is rejected if it has no letters, or if
 its cosine is under `reject` times the least cosine that a training text of that language has to its nearest centroid.
 
-The fit uses at most about `most_per_language` texts per language, chosen by a hash of the id (and `most_total` in all);
-prediction reads every whole text.
+The fit uses at most `most_per_language` texts per language and most_total in all, shared evenly by the languages, but at least one of
+each: those with the least hash of id and text, equal rows counted once. More languages than most_total are a ValueError.
+Prediction reads every whole text.
 
 Defined cases: null, empty and letterless texts are `und` with score 0, rejected; null langs and null ids are not learned from;
 ties go to the language that sorts first; without a training text every text is `und`; an empty table gives an empty result;
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mapped, pieces, release_memory
+from ._common import bounded_sample, mapped, pieces, place_of, release_memory
 
 BITS = 13
 SIZE = 1 << BITS
@@ -123,13 +124,11 @@ def held_out(id_col: str, modulus: int = 4, rest: int = 2) -> Column:
 
 def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most_per_language: int = 1000, most_total: int = 4000) -> Centroids:
     """Centroids of the documents that are not held out."""
-    known = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).cast("string")).count().orderBy(F.col("count").desc()).limit(most_total // 4).collect()}
-    quota = min(most_per_language, most_total // max(1, len(sizes)))
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col(lang_col) == lang) & (place < F.lit(int((1 << 30) * min(1.0, quota / n)))))
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    known = docs.filter(F.col(id_col).isNotNull() & lang.isNotNull() & text.isNotNull() & ~held_out(id_col))
+    known = known.select(F.col(id_col).cast("string").alias("id"), lang.alias("lang"), text.alias("text"))
+    known = known.filter(F.regexp_like("text", F.lit(r"\p{L}"))).withColumn("place", place_of(F.col("id"), F.col("text")))
+    sample = bounded_sample(known, "lang", most_per_language, most_total).select("id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +139,7 @@ def fit_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
                 [batch.column(0).filter(kept), batch.column(1).filter(kept), pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())], ["id", "lang", "at", "value"]
             )
 
-    sample = known.filter(chosen).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    taken = sample.transform(mapped, run, "id string, lang string, at binary, value binary").limit(2 * most_total).toArrow().to_pydict()
+    taken = sample.transform(mapped, run, "id string, lang string, at binary, value binary").toArrow().to_pydict()  # at most most_total rows
     order = sorted(range(len(taken["id"])), key=lambda i: (taken["id"][i], taken["lang"][i], taken["at"][i]))
     rows = [(np.frombuffer(taken["at"][i], np.int32), np.frombuffer(taken["value"][i], np.float32)) for i in order]
     found = Centroids(rows, [taken["lang"][i] for i in order])

@@ -5,8 +5,8 @@ whether a word repeats one of the two before it. Each is scaled by the log ratio
 hinge-loss model, whose weights are drawn towards their mean magnitude. A logistic curve, fitted to margins of
 documents left out of the fit, turns margins into scores.
 
-The fit uses at most about `most_per_class` labelled documents per class, chosen by a hash of the id; scoring reads every
-whole text.
+The fit uses at most `most_per_class` labelled documents per class, those with the least hash of id and text (equal rows
+counted once), and of these as many as have indicators of at most `most_bytes` in all, by an upper bound. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no indicators and get the score of the bare intercept; null labels and ids are not learned
 from; an id with several labels counts with the largest; without both classes the score is the share of label 1 (0.5 without
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, mapped, pieces, release_memory, texts
+from ._common import bounded_sample, checkpointed, mapped, pieces, place_of, release_memory, spread, texts
 from ._words import SPACED, Words, mix
 
 GRAM_BITS, WORD_BITS = 16, 17
@@ -107,7 +107,7 @@ class Quality:
 
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, share: np.ndarray, beta: float = 0.25) -> None:
         """share: what each document stands for, so that scores fit the classes' true shares."""
-        self.flat = None
+        self.flat, self.n_rows = None, len(rows)
         if len(set(labels.tolist())) < 2:
             self.flat = 0.5 if not len(labels) else float(labels[0])
             return
@@ -159,16 +159,21 @@ def held_out(id_col: str, modulus: int = 5, rest: int = 0) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % modulus == rest, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_per_class: int = 4000) -> Quality:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_per_class: int = 4000, most_bytes: int = 256 << 20
+) -> Quality:
     """The model of the labelled documents that are not held out."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect() if r["label"] in (0, 1)}
-    place = F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for label, n in counts.items():
-        chosen = chosen | ((F.col("label") == label) & (place < F.lit(int((1 << 30) * min(1.0, most_per_class / n)))))
-    sample = checkpointed(known.filter(chosen).limit(3 * most_per_class))
+    # of the labels, so many that a class is not short of documents though some labels have none
+    chosen = checkpointed(bounded_sample(known.filter("label in (0, 1)").withColumn("place", place_of(F.col("id"))), "label", 4 * most_per_class).drop("place"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    sample = bounded_sample(found.withColumn("place", place_of(F.col("id"), F.col("text"))), "label", most_per_class)
+    bound = F.least(F.lit(4 * SIZE), 16 + 8 * F.coalesce(F.octet_length("text"), F.lit(0)))
+    held = F.sum(bound).over(Window.partitionBy("label").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    sample = sample.withColumn("held", F.coalesce(held, F.lit(0))).filter(F.col("held") < most_bytes // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,9 +181,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 rows = indicators(texts(batch.column(2).slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "label", "row"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
-    taken = found.select("id", "label", "text").transform(mapped, run, f"id {kind}, label int, row binary").toArrow()
+    taken = spread(sample.select("id", "label", "text")).transform(mapped, run, f"id {kind}, label int, row binary").toArrow()
     order = np.argsort([str(x) for x in taken.column(0).to_pylist()], kind="stable")
     rows = [np.frombuffer(x, np.int32) for x in taken.column(2).to_pylist()]
     y = np.array(taken.column(1).to_pylist(), np.int64)
