@@ -21,6 +21,7 @@ from tidemark.errors import (
     ValidationError,
 )
 from tidemark.operators.retention import in_order, parse_frequency, parse_size, retain, strict
+from tidemark.sources.bulk import number_records
 from tidemark.streaming import continuous_append, continuous_turnover
 
 
@@ -284,3 +285,93 @@ def test_stream_turnover(spark, tmp_path):
     events = spark.table("kept").collect()
     kept = {r.insertion_order for r in events if not r.evicted} - {r.insertion_order for r in events if r.evicted}
     assert sorted(kept) == plain_turnover([r[1:] for r in rows], 100)
+
+
+def event(i, at=0):
+    return (i, at, json.dumps({"id": i}))
+
+
+def test_a_batch_that_comes_again_is_left_out(spark, folder):
+    """Also after a crash: the number is committed with the batch."""
+    rows = spark.createDataFrame([event(1), event(2)], "source_key long, timestamp long, payload string")
+    with Datastore(spark, "file", file_path="s.tmdb", auto_commit={"frequency": "1h"}) as db:
+        db.append(rows, batch=("a", 0))
+        db.append(rows, batch=("a", 0))
+        db.append(rows, batch=("b", 0))
+        assert db.stats()["records"] == 4
+        db.commit()
+        db.append(rows, batch=("a", 1))  # given up
+    with Datastore(spark, "file", file_path="s.tmdb") as db:
+        db.append(rows, batch=("a", 0))
+        assert db.stats()["records"] == 4
+        db.append(rows, batch=("a", 1))
+        assert ids(db.select(0, 0)) == [1, 2] * 3
+
+
+def test_commits_add_what_is_new(spark, folder, monkeypatch):
+    """Each commit writes the new records only, up to a number of parts; changes write all."""
+    monkeypatch.setattr("tidemark.sources.storage.MOST_PARTS", 3)
+    written = lambda: [p.name[-1] for p in sorted(folder.iterdir()) if ".g." in p.name]
+    parts = lambda: json.loads((folder / "d.tmdb").read_text())["parts"]
+    with Datastore(spark, "file", file_path="d.tmdb") as db:
+        for i in range(2):
+            db.insert({"timestamp": i, "payload": {"id": i}})
+        assert parts() == ["d.tmdb.g.0", "d.tmdb.g.1", "d.tmdb.g.2"]
+        assert spark.read.parquet(str(folder / "d.tmdb.g.2")).count() == 1
+        db.insert({"timestamp": 2, "payload": {"id": 2}})
+        assert parts() == ["d.tmdb.g.3"] and written() == ["2", "3"]
+        db.append(spark.createDataFrame([event(9, 9)], "source_key long, timestamp long, payload string"))
+        assert parts() == ["d.tmdb.g.3", "d.tmdb.g.4"] and ids(db.select(0, 9)) == [0, 1, 2, 9]
+        db.delete_by_id("1:1")
+        assert parts() == ["d.tmdb.g.5"]
+    with Datastore(spark, "file", file_path="d.tmdb") as db:
+        assert ids(db.select(0, 9)) == [0, 2, 9]
+    pointer = json.loads((folder / "d.tmdb").read_text())
+    for bad in ({"parts": []}, {"parts": ["x.g.5"]}, {"parts": ["d.tmdb.g.1", "d.tmdb.g.5"]}, {"streams": {"a": "b"}}):
+        (folder / "d.tmdb").write_text(json.dumps(pointer | bad))
+        with pytest.raises(PageCorruptionError):
+            Datastore(spark, "file", file_path="d.tmdb")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_turnover_finds_the_oldest_slice_by_slice(spark, monkeypatch, seed):
+    """The driver holds a few keys at a time; records that are changed, deleted or late are met in their place."""
+    monkeypatch.setattr("tidemark.datastore.SLICE", 4)
+    rng = random.Random(seed)
+    db = Datastore(spark, capacity={"max_size": 300, "policy": "turnover"})
+    held = {}
+    for i in range(60):
+        at, text = rng.randrange(20), "x" * rng.randrange(1, 30)
+        db.insert({"timestamp": at, "payload": {"id": text}})
+        size = lambda t, x: len(f'{t}|{{"id":"{x}"}}')
+        while sum(size(t, x) for (t, _), x in held.items()) + size(at, text) > 300:
+            del held[min(held)]
+        held[at, i] = text
+        if i % 7 == 3:
+            at, order = rng.choice(sorted(held))
+            assert db.update_by_id(f"{at}:{order}", {"id": "y"})
+            held[at, order] = "y"
+        if i % 11 == 5:
+            at, order = rng.choice(sorted(held))
+            assert db.delete_by_id(f"{at}:{order}")
+            del held[at, order]
+    assert db.stats()["bytes"] == sum(size(t, x) for (t, _), x in held.items())
+    assert ids(db.select(0, 99)) == [x for _, x in sorted(held.items())]
+
+
+def test_numbering_is_even_whatever_the_keys(spark):
+    """One key far from the others does not put these into one range."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _number(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _number(spark):
+    rows = spark.createDataFrame([(i,) for i in range(4000)] + [(2**60,)], "source_key long").repartition(4)
+    found = number_records(rows, start=7)
+    assert [r.insertion_order for r in found.orderBy("source_key").collect()] == list(range(7, 4008))
+    largest = max(found.groupBy(F.spark_partition_id()).count().collect(), key=lambda r: r["count"])["count"]
+    assert largest < 3000
+    assert number_records(rows.limit(0)).collect() == []

@@ -237,3 +237,15 @@ def test_random_ranges(spark):
         low, high = sorted((state.randrange(80), state.randrange(80)))
         got = [json.loads(r[0])["id"] for r in store.select(low, high).select(F.to_json("payload")).collect()]
         assert got == [i for _, i in sorted((t, i) for i, t in enumerate(stamps) if low <= t <= high)]
+
+
+def test_distinct_groups_in_order(spark):
+    """Of groups whose selected columns are equal the first stays, and the order holds."""
+    rows = [(i, i, json.dumps({"k": k, "j": j, "v": v})) for i, (k, j, v) in enumerate([("a", 1, 5), ("a", 2, 5), ("b", 1, 7), ("c", 1, 7), ("c", 1, 1), (None, 3, 5)])]
+    frame = spark.createDataFrame(rows, "timestamp long, insertion_order long, body string").select("timestamp", "insertion_order", F.parse_json("body").alias("payload"))
+    run = lambda **x: [tuple(json.loads(v) if isinstance(v, str) else v for v in r) for r in execute(request_from(x), PayloadView(frame)).select(*(F.to_json(c) if t == "variant" else F.col(c) for c, t in execute(request_from(x), PayloadView(frame)).dtypes)).collect()]
+    top = [{"fn": "max", "field": "v", "as": "m"}]
+    assert run(groupBy=["k", "j"], aggregates=top, select=["m"], distinct=True, orderBy=[{"field": "m", "direction": "desc"}]) == [(7,), (5,)]
+    assert run(groupBy=["k", "j"], aggregates=top, select=["k"], distinct=True, orderBy=[{"field": "m", "direction": "desc"}, {"field": "k"}]) == [("b",), ("c",), (None,), ("a",)]
+    assert sorted(run(groupBy=["k", "j"], select=["j"], distinct=True)) == [(1,), (2,), (3,)]
+    assert run(groupBy=["k", "j"], aggregates=[{"fn": "count", "as": "n"}], select=["n"], distinct=True, orderBy=[{"field": "n"}], limit=1) == [(1,)]

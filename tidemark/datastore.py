@@ -35,10 +35,15 @@ from .operators.retention import parse_frequency, parse_policy, parse_size
 from .plans.compiler import execute, select_range
 from .plans.request import ExecutionOptions, QueryLimits, QueryRequest, request_from
 from .sources.bulk import check_records, number_records
+from .sources.checkpoints import checkpointed
 from .sources.records import PayloadView
 from .sources.storage import SCHEMA, GenerationStore, resolve_path
 
 MOST_ORDER = 2**63 - 1
+#: Most records whose keys and sizes the driver holds to find the oldest.
+SLICE = 100_000
+#: Appends to a store that is not committed to files before its frame is written anew as one.
+MOST_FRAMES = 16
 #: Bytes of a page that its header and slot take.
 PAGE_OVERHEAD = 36
 
@@ -74,7 +79,8 @@ def run_query_with_engine(db: Datastore, engine: QueryEngineModule, text: str, o
 class Datastore:
     """location: memory or file; capacity: {max_size, policy}; auto_commit: {frequency, max_pending_bytes}; file_path or target for files.
 
-    page_size bounds single records (default: not bounded); strict_code_parity makes `exists` false for nested objects.
+    page_size bounds single records (default: not bounded); strict_code_parity makes `exists` false for nested objects; files must lie in
+    root (default: the working directory).
     """
 
     def __init__(
@@ -89,6 +95,7 @@ class Datastore:
         limits: QueryLimits | None = None,
         strict_code_parity: bool = False,
         page_size: int | None = None,
+        root: str | None = None,
     ) -> None:
         self.spark, self.limits, self._parity = spark, limits or QueryLimits(), strict_code_parity
         self._capacity = None if capacity is None else _Capacity(parse_size(capacity.get("max_size")), parse_policy(capacity.get("policy")))
@@ -104,8 +111,13 @@ class Datastore:
         self._buffer: dict[int, tuple[int, dict[str, Any], int]] = {}
         self._base: DataFrame | None = None
         self._gone: set[int] = set()  # orders of the base that were evicted, deleted or replaced
-        self._heap: list[tuple[int, int, int]] | None = None  # (timestamp, order, size), for turnover
+        self._heap: list[tuple[int, int, int]] | None = None  # (timestamp, order, size) of the oldest, for turnover
+        self._horizon: tuple[int, int] | None = None  # records after this key are not in the heap; None: all are
         self._dead: set[int] = set()  # orders in the heap that are no more
+        self._resized: dict[int, int] = {}  # sizes of records in the heap that changed
+        self._added: list[DataFrame] | None = []  # what was appended since the last commit; None: other things changed, too
+        self._frames = 0
+        self._streams: dict[str, int] = {}
         self._next_order = self._size = self._count = 0
         self._store: GenerationStore | None = None
         self._pending = self._dirty = 0
@@ -119,9 +131,11 @@ class Datastore:
             self._most_pending = auto.get("max_pending_bytes")
             if self._most_pending is not None and (isinstance(self._most_pending, bool) or not isinstance(self._most_pending, int) or self._most_pending <= 0):
                 raise ConfigurationError("auto_commit.max_pending_bytes must be a positive whole number")
-            self._store = GenerationStore(spark, resolve_path(file_path, None if target is None else dict(target)))
+            within = None if root is None else Path(root)
+            self._store = GenerationStore(spark, resolve_path(file_path, None if target is None else dict(target), within), root=within)
             found = self._store.open()
             self._base, self._next_order, self._size, self._count = found.frame, found.next_order, found.size, found.count
+            self._streams = dict(found.streams)
             self._schedule()
         else:
             raise UnsupportedBackendError(f"no storage {location!r}")
@@ -158,13 +172,16 @@ class Datastore:
         for r in records:
             self.insert(r)
 
-    def append(self, rows: DataFrame, timestamp: str = "timestamp", payload: str = "payload", key: str = "source_key") -> None:
+    def append(self, rows: DataFrame, timestamp: str = "timestamp", payload: str = "payload", key: str = "source_key", batch: tuple[str, int] | None = None) -> None:
         """Adds many records from a DataFrame of (key, timestamp, JSON payload), in key order; all or none.
 
-        With a capacity the bound is applied by `tidemark.operators.retention.retain` to all records at once.
+        With a capacity the bound is applied by `tidemark.operators.retention.retain` to all records at once. batch: a stream's name and
+        the number of its batch; a batch that was appended before is left out.
         """
         with self._lock:
             self._ensure_open()
+            if batch is not None and batch[1] <= self._streams.get(batch[0], -1):
+                return
             checked = check_records(rows, timestamp, payload, key).cache()
             try:
                 if bad := checked.filter("error is not null").select("source_key", "error").head(1):
@@ -176,32 +193,45 @@ class Datastore:
 
                     if self._capacity.policy == "strict" and self._size + size > self._capacity.most:
                         raise QuotaExceededError("the records don't fit")
-                    added = retain(self._persisted().unionByName(added), self._capacity.most, self._capacity.policy)
+                    self._replace_base(checkpointed(retain(self._persisted().unionByName(added), self._capacity.most, self._capacity.policy)), self._next_order + count)
                 else:
-                    added = self._persisted().unionByName(added)
-                added = self._materialise(added)
-                self._replace_base(added, self._next_order + count)
+                    self._extend_base(checkpointed(added), int(count), int(size))
+                if batch is not None:
+                    self._streams[batch[0]] = batch[1]
                 self._appended(int(size))
             finally:
                 checked.unpersist()
 
-    def _materialise(self, frame: DataFrame) -> DataFrame:
-        if self.spark.sparkContext.getCheckpointDir() is None and self.spark.conf.get("spark.checkpoint.dir", None) is None:
-            return frame.cache()
-        return frame.checkpoint()
-
     def _replace_base(self, frame: DataFrame, next_order: int) -> None:
         count, size = frame.agg(F.count(F.lit(1)), F.coalesce(F.sum("encoded_bytes"), F.lit(0))).first()
-        self._base, self._buffer, self._gone, self._heap, self._dead = frame, {}, set(), None, set()
+        self._base, self._buffer, self._gone, self._heap, self._added, self._frames = frame, {}, set(), None, None, 1
         self._next_order, self._size, self._count = next_order, int(size), int(count)
 
+    def _extend_base(self, added: DataFrame, count: int, size: int) -> None:
+        self._base = added if self._base is None else self._base.unionByName(added)
+        self._frames += 1
+        if self._frames > MOST_FRAMES:
+            self._base, self._frames = checkpointed(self._base), 1
+        if self._added is not None:
+            self._added.append(added)
+        self._heap = None
+        self._next_order += count
+        self._size += size
+        self._count += count
+
     def _add(self, order: int, ts: int, payload: dict[str, Any], size: int) -> None:
         self._buffer[order] = (ts, payload, size)
         self._size += size
         self._count += 1
-        if self._heap is not None:
+        if self._heap is not None and (self._horizon is None or (ts, order) <= self._horizon):
             heapq.heappush(self._heap, (ts, order, size))
 
+    def _load_oldest(self) -> None:
+        """The oldest SLICE records into the heap."""
+        rows = self._persisted().select("timestamp", "insertion_order", "encoded_bytes").orderBy("timestamp", "insertion_order").limit(SLICE).collect()
+        self._heap, self._dead, self._resized = [tuple(r) for r in rows], set(), {}
+        self._horizon = self._heap[-1][:2] if len(rows) == SLICE else None
+
     def _make_room(self, size: int) -> None:
         if self._capacity is None:
             return
@@ -212,10 +242,10 @@ class Datastore:
         if self._capacity.policy == "strict":
             raise QuotaExceededError("the capacity is used up")
         if self._heap is None:
-            rows = self._persisted().select("timestamp", "insertion_order", "encoded_bytes").collect()  # at most the capacity
-            self._heap, self._dead = [tuple(r) for r in rows], set()
-            heapq.heapify(self._heap)
+            self._load_oldest()
         while self._size + size > self._capacity.most:
+            if not self._heap and self._horizon is not None:
+                self._load_oldest()
             if not self._heap:
                 raise IndexCorruptionError("the time index is empty but space is used")
             _, order, freed = heapq.heappop(self._heap)
@@ -223,12 +253,13 @@ class Datastore:
                 self._dead.discard(order)
                 continue
             self._drop(order)
-            self._size -= freed
+            self._size -= self._resized.pop(order, freed)
             self._count -= 1
 
     def _drop(self, order: int) -> None:
         if self._buffer.pop(order, None) is None:
             self._gone.add(order)
+            self._added = None
 
     # records by id
 
@@ -265,10 +296,9 @@ class Datastore:
             if self._capacity is not None and self._size - size + new > self._capacity.most:
                 raise QuotaExceededError("the changed record doesn't fit")
             self._drop(order)
-            self._size -= size
-            self._count -= 1
-            self._heap = None  # sizes in it are out of date
-            self._add(order, ts, payload, new)
+            self._buffer[order] = (ts, payload, new)
+            self._size += new - size
+            self._resized[order] = new
             self._appended(new)
             return True
 
@@ -282,7 +312,7 @@ class Datastore:
             self._drop(found[1])
             self._size -= found[3]
             self._count -= 1
-            if self._heap is not None:
+            if self._heap is not None and (self._horizon is None or found[:2] <= self._horizon):
                 self._dead.add(found[1])
             self._appended(0)
             return True
@@ -299,11 +329,14 @@ class Datastore:
                 base = base.join(gone, "insertion_order", "left_anti").select("timestamp", "insertion_order", "encoded_bytes", "payload")
             parts.append(base)
         if self._buffer or not parts:
-            rows = [(ts, order, size, json.dumps(payload, ensure_ascii=False)) for order, (ts, payload, size) in self._buffer.items()]
-            made = self.spark.createDataFrame(rows, "timestamp long, insertion_order long, encoded_bytes long, body string")
-            parts.append(made.select("timestamp", "insertion_order", "encoded_bytes", F.parse_json("body").alias("payload")))
+            parts.append(self._buffered())
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def _buffered(self) -> DataFrame:
+        rows = [(ts, order, size, json.dumps(payload, ensure_ascii=False)) for order, (ts, payload, size) in self._buffer.items()]
+        made = self.spark.createDataFrame(rows, "timestamp long, insertion_order long, encoded_bytes long, body string")
+        return made.select("timestamp", "insertion_order", "encoded_bytes", F.parse_json("body").alias("payload"))
+
     def view(self) -> PayloadView:
         with self._lock:
             self._ensure_open()
@@ -356,8 +389,13 @@ class Datastore:
     def _commit(self) -> None:
         if self._store is None:
             return
-        frame = self._store.commit(self._persisted(), self._next_order, self._size, self._count)
-        self._base, self._buffer, self._gone = frame, {}, set()
+        added = None
+        if self._added is not None and not self._gone:
+            added = self._buffered()
+            for frame in self._added:
+                added = added.unionByName(frame)
+        frame = self._store.commit(self._persisted(), self._next_order, self._size, self._count, added=added, streams=self._streams)
+        self._base, self._buffer, self._gone, self._added, self._frames = frame, {}, set(), [], 0
         self._pending = self._dirty = 0
 
     def _appended(self, size: int) -> None:

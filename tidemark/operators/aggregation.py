@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryValidationError
@@ -33,7 +33,9 @@ def _unpacked(packed: Column) -> Column:
 
 
 def aggregate_column(item: Aggregate, view: RecordView) -> Column:
-    """The aggregate as a column. Numeric aggregates skip what is no number; count and min/max skip null and missing."""
+    """The aggregate as a column; the least and greatest of a dynamic field stay packed. Numeric aggregates skip what is no
+    number; count and min/max skip null and missing.
+    """
     if item.field is None:
         return F.count(F.lit(1))
     field = view.field(item.field)
@@ -49,7 +51,7 @@ def aggregate_column(item: Aggregate, view: RecordView) -> Column:
             return F.percentile(number, F.lit(float(item.percentile)))
     best = F.min if item.fn == "min" else F.max
     if not field.static:
-        return _unpacked(best(_packed(field, view)))
+        return best(_packed(field, view))
     if field.string is not None and view.utf16:
         return best(F.struct(view.string_key(field.string).alias("key"), field.string.alias("v")))["v"]
     return best(field.value)
@@ -72,14 +74,33 @@ def aggregate(request: QueryRequest, view: RecordView, rows: DataFrame) -> DataF
     else:
         grouped = rows.agg(*made)
     outputs = {g: F.col(f"__key{i}") if f.static else _unpacked(F.col(f"__key{i}")) for i, (g, f) in enumerate(zip(request.group_by, fields, strict=True))}
+    for a in request.aggregates:
+        dynamic = a.fn in ("min", "max") and not view.field(a.field).static
+        outputs[a.name] = _unpacked(F.col(f"`{a.name}`")) if dynamic else F.col(f"`{a.name}`")
+    if request.distinct and wanted:
+        return _distinct_groups(request, grouped, wanted, outputs)
+    order = _group_order(request, names)
+    if order:
+        grouped = grouped.orderBy(*order, *(F.col(f"__key{i}").asc_nulls_first() for i in range(len(keys))))
+    return grouped.select(*(outputs[n].alias(n) for n in (wanted or names)))
+
+
+def _group_order(request: QueryRequest, names: list[str]) -> list[Column]:
     order = []
     for item in request.order_by:
         if item.field not in names:
             raise QueryValidationError(f"cannot order groups by {item.field}")
         column = F.col(f"__key{request.group_by.index(item.field)}") if item.field in request.group_by else F.col(f"`{item.field}`")
         order.append(column.asc_nulls_first() if item.direction == "asc" else column.desc_nulls_last())
-    if order:
-        grouped = grouped.orderBy(*order, *(F.col(f"__key{i}").asc_nulls_first() for i in range(len(keys))))
-    outputs |= {a.name: F.col(f"`{a.name}`") for a in request.aggregates}
-    result = grouped.select(*(outputs[n].alias(n) for n in (wanted or names)))
-    return result.distinct() if request.distinct and not order else result
+    return order
+
+
+def _distinct_groups(request: QueryRequest, grouped: DataFrame, wanted: list[str], outputs: dict[str, Column]) -> DataFrame:
+    """Of groups whose selected columns are equal, the first in order (ties by the group's keys)."""
+    keys = [F.col(f"__key{i}") for i in range(len(request.group_by))]
+    same = [F.col(f"__key{request.group_by.index(n)}") if n in request.group_by else F.col(f"`{n}`") for n in wanted]
+    order = [*_group_order(request, [*request.group_by, *(a.name for a in request.aggregates)]), *(k.asc_nulls_first() for k in keys)]
+    first = grouped.withColumn("__nth", F.row_number().over(Window.partitionBy(*same).orderBy(*(order or [F.lit(1)])))).filter("__nth = 1")
+    if request.order_by:
+        first = first.orderBy(*order)
+    return first.select(*(outputs[n].alias(n) for n in wanted))

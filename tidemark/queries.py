@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lifecycle
 from .languages import LuceneEngine, SqlEngine
 from .operators.retention import retain
 from .plans.compiler import execute, select_range
@@ -85,6 +86,8 @@ def _define() -> None:
         {"where": {"and": [{"or": [_test("event_type", "=", "click"), _test("event_type", "=", "view")]}, {"not": _test("value", ">", 10)}, _test("props.k", "<", 50)]}, "select": ["_id"]},
         _on_events("""SELECT id AS "_id" FROM e WHERE event_type IN ('click', 'view') AND NOT value > 10 AND k < 50"""),
     )
+    for name, where, n in (("and", {"and": []}, "count(*)"), ("or", {"or": []}, "0 * count(*)"), ("not", {"not": {"or": []}}, "count(*)")):
+        _native(f"filter_empty_{name}", events_view, {"where": where, "aggregates": [{"fn": "count", "as": "n"}]}, f"SELECT {n} AS n FROM events")
     _native("filter_like", events_view, {"where": _test("event_type", "like", "%r_h%"), "select": ["_id"]}, _on_events("""SELECT id AS "_id" FROM e WHERE event_type LIKE '%r_h%'"""))
     _native("filter_regexp", events_view, {"where": _test("event_type", "regexp", "^(cl|si).*[kp]$"), "select": ["_id"]}, _on_events("""SELECT id AS "_id" FROM e WHERE regexp_matches(event_type, '^(cl|si).*[kp]$')"""))
     _native("filter_id", events_view, {"where": _test("_id", "like", "%:77"), "select": ["_id", "event_id"]}, _on_events("""SELECT id AS "_id", event_id FROM e WHERE id LIKE '%:77'"""))
@@ -163,6 +166,7 @@ TEXT: dict[str, tuple[str, str, dict[str, Any] | None, str, tuple[str, ...]]] =
         "sql", "SELECT event_type, COUNT(*) AS c, AVG(value) AS a, PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY value) AS med FROM records GROUP BY event_type ORDER BY c DESC LIMIT 4", None,
         "SELECT event_type, count(*) AS c, round(avg(value), 4) AS a, round(quantile_cont(value, 0.5), 4) AS med FROM events GROUP BY 1 ORDER BY c DESC, event_type LIMIT 4", ("a", "med"),
     ),
+    "sql_group_distinct": ("sql", "SELECT DISTINCT COUNT(*) AS c FROM records GROUP BY user_id ORDER BY c DESC", None, "SELECT DISTINCT c FROM (SELECT count(*) AS c FROM events GROUP BY user_id)", ()),
     "sql_options": ("sql", "SELECT event_id FROM records WHERE user_id = 7", {"orderBy": [{"field": "value", "direction": "desc"}], "limit": 20}, _on_events("SELECT event_id FROM e WHERE user_id = 7 ORDER BY value DESC, timestamp, event_id LIMIT 20"), ()),
     "lucene_terms": ("lucene", "(event_type:purchase OR event_type:\"click\") AND NOT user_id:7", {"select": ["_id"]}, _on_events("""SELECT id AS "_id" FROM e WHERE event_type IN ('purchase', 'click') AND user_id <> 7"""), ()),
     "lucene_ranges": ("lucene", "value:[10 TO 20] AND user_id:{3 TO 40} AND props.k:[0 TO 60]", {"select": ["event_id"]}, _on_events("SELECT event_id FROM e WHERE value BETWEEN 10 AND 20 AND user_id > 3 AND user_id < 40 AND k BETWEEN 0 AND 60"), ()),
@@ -216,14 +220,13 @@ CAPACITY = 40_000
 
 def turnover_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a turnover bound keeps of events that come in time order."""
-    rows = _sized(spark, sf_dir)
-    return retain(rows, CAPACITY, "turnover", assume_in_order=True)
+    return retain(_sized(spark, sf_dir), CAPACITY, "turnover")
 
 
 def turnover_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a turnover bound keeps of events that come in another order than their times."""
-    late = F.xxhash64("insertion_order")
-    return retain(_sized(spark, sf_dir).withColumn("timestamp", F.col("timestamp") - F.pmod(late, F.lit(86_400_000))), CAPACITY, "turnover")
+    late = F.col("insertion_order") * 7919 * 86_400 % 86_400_000
+    return retain(_sized(spark, sf_dir).withColumn("timestamp", F.col("timestamp") - late), CAPACITY, "turnover")
 
 
 def strict_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,9 +234,23 @@ def strict_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retain(_sized(spark, sf_dir), CAPACITY, "strict")
 
 
+def payload_default_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemaless records without a select: every key that holds a scalar; the mixed one as a number and as a text."""
+    found = execute(QueryRequest(), sparse_view(spark, sf_dir))
+    text = F.schema_of_variant("value") == "STRING"
+    return found.select(
+        F.col("timestamp"),
+        F.col("event_type").cast("string").alias("event_type"),
+        F.when(~text, F.try_variant_get("value", "$", "double")).alias("number"),
+        F.when(text, F.try_variant_get("value", "$", "string")).alias("text"),
+        F.lit(len(found.columns)).alias("n_columns"),
+    )
+
+
 def queries() -> dict[str, Query]:
     named = {"flagship": flagship, "range_select": range_select, "project_alias_arith": project_alias_arith, "turnover_in_order": turnover_in_order, "turnover_late": turnover_late, "strict_fold": strict_fold}
-    return named | {n: _run_native(n) for n in NATIVE} | {n: _run_text(n) for n in TEXT}
+    named |= {"payload_default_projection": payload_default_projection}
+    return named | {n: _run_native(n) for n in NATIVE} | {n: _run_text(n) for n in TEXT} | lifecycle.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -242,6 +259,23 @@ def oracle_sql() -> dict[str, str]:
         "flagship": _on_events("""SELECT id AS "_id", user_id, value FROM e WHERE event_type = 'purchase' AND value > 50 ORDER BY value DESC, timestamp, event_id LIMIT 10"""),
         "range_select": _on_events(f"SELECT timestamp, event_id, event_type, value FROM e WHERE timestamp BETWEEN {LOW} AND {HIGH}"),
         "project_alias_arith": "SELECT event_id AS id, round(value + user_id - 1, 4) AS s FROM events",
+        "payload_default_projection": _on_sparse("SELECT timestamp, event_type, num AS number, str AS text, 3 AS n_columns FROM s"),
+        "strict_fold": f"""
+            WITH e AS ({sized}), o AS (SELECT list({{'held': encoded_bytes::BIGINT, 'kept': [insertion_order]}} ORDER BY insertion_order) AS rows FROM e),
+                 f AS (SELECT unnest(list_reduce(list_prepend({{'held': 0::BIGINT, 'kept': []::BIGINT[]}}, rows),
+                    lambda a, x: CASE WHEN a.held + x.held <= {CAPACITY} THEN {{'held': a.held + x.held, 'kept': list_concat(a.kept, x.kept)}} ELSE a END).kept) AS insertion_order FROM o)
+            SELECT e.* FROM e JOIN f USING (insertion_order)""",
+        "turnover_late": f"""
+            WITH RECURSIVE e AS (SELECT timestamp - insertion_order * 7919 * 86400 % 86400000 AS timestamp, insertion_order, encoded_bytes FROM ({sized})),
+                 n AS (SELECT *, row_number() OVER (ORDER BY insertion_order) AS nth FROM e WHERE encoded_bytes <= {CAPACITY}),
+                 -- the records held, by (time, order); of them the first that must go make room for the next
+                 step AS (SELECT 0::BIGINT AS nth, []::STRUCT(t BIGINT, o BIGINT, b BIGINT)[] AS held, 0::BIGINT AS size
+                    UNION ALL SELECT nth, list_sort(list_append(held[gone + 1:], {{'t': t, 'o': o, 'b': b}})), size - coalesce(list_sum(list_transform(held[1:gone], lambda x: x.b)), 0)::BIGINT + b
+                    FROM (SELECT n.nth, n.timestamp AS t, n.insertion_order AS o, n.encoded_bytes AS b, held, size,
+                            CASE WHEN size + n.encoded_bytes <= {CAPACITY} THEN 0 ELSE 1 + len(list_filter(range(1, 60), lambda k: size - list_sum(list_transform(held[1:k], lambda x: x.b)) + n.encoded_bytes > {CAPACITY})) END AS gone
+                          FROM step JOIN n ON n.nth = step.nth + 1))
+            SELECT e.* FROM e JOIN (SELECT unnest(held).o AS insertion_order FROM (SELECT held FROM step ORDER BY nth DESC LIMIT 1)) USING (insertion_order)""",
+        **lifecycle.oracle_sql(),
         "turnover_in_order": f"SELECT timestamp, insertion_order, encoded_bytes FROM (SELECT *, sum(encoded_bytes) OVER (ORDER BY timestamp DESC, insertion_order DESC) AS held FROM ({sized})) WHERE held <= {CAPACITY}",
         **{n: sql for n, (_, _, sql, _) in NATIVE.items()},
         **{n: sql for n, (_, _, _, sql, _) in TEXT.items()},

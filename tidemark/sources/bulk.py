@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import TidemarkError, ValidationError
 from ..functions.validation import clone_payload, encoded_bytes, epoch_ms
 from ..shipping import ship
+from .checkpoints import checkpointed
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,18 +45,14 @@ def check_records(rows: DataFrame, timestamp: str = "timestamp", payload: str =
 def number_records(rows: DataFrame, key: str = "source_key", start: int = 0) -> DataFrame:
     """rows with insertion_order start, start + 1, ... in key order, without a single task that sees them all.
 
-    Rows are counted per range of keys; each row's number is its range's offset and its place in the range.
+    Keys are dealt to ranges of about equal size, whatever their distribution; a row's number is its place in its range and the
+    count of the ranges before.
     """
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return rows.withColumn("insertion_order", F.lit(0).cast("long"))
-    parts = 4096
-    width = max(1, -(-(high - low + 1) // parts))
-    part = F.floor((F.col(key) - low) / width).cast("int")
-    marked = rows.withColumn("__part", part)
-    counts = marked.groupBy("__part").count()  # at most 4096 rows
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("__part").orderBy(key)
-    out = marked.withColumn("__nth", F.row_number().over(inside)).join(F.broadcast(offsets), "__part")
-    return out.withColumn("insertion_order", (F.lit(start) + F.col("__offset") + F.col("__nth") - 1).cast("long")).drop("__part", "__nth", "__offset")
+    parts = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id())
+    parts = checkpointed(parts)  # places must not change between the two uses
+    counts = parts.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    out = parts.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(offsets), "__part")
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn("insertion_order", F.lit(start) + F.col("__offset") + place).drop("__part", "__at", "__offset")

@@ -17,12 +17,13 @@ from ..shipping import ship
 
 
 def continuous_append(stream: DataFrame, db: Datastore, checkpoint: str, every: str | None = None, **columns: str) -> StreamingQuery:
-    """Appends each micro-batch of (source_key, timestamp, JSON payload) to a datastore. every: a processing-time trigger; None: what
-    is there now.
+    """Appends each micro-batch of (source_key, timestamp, JSON payload) to a datastore, once: the datastore commits a batch with
+    its number and leaves out one that comes again after a crash. every: a processing-time trigger; None: what is there now.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
-        db.append(batch, **columns)
+    def append(batch: DataFrame, number: int) -> None:
+        db.append(batch, batch=(checkpoint, number), **columns)
+        db.commit()
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
