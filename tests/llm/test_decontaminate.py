@@ -5,7 +5,8 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm.decontaminate import FMIndex, find_contamination, suffix_array, decontaminated
+from tidemark.llm._words import ALNUM, Words
+from tidemark.llm.decontaminate import FMIndex, Phrases, Shard, decontaminated, find_contamination, suffix_array
 
 
 def words_of(text):
@@ -78,24 +79,44 @@ def test_nothing(spark, docs_of):
 
 def test_suffix_array():
     rng = np.random.default_rng(1)
-    for n, few in ((1, 1), (50, 2), (200, 3), (64, 1)):
-        text = np.r_[rng.integers(1, few + 1, n), 0]
+    for n, few in ((0, 1), (1, 1), (50, 2), (200, 3), (64, 1)):
+        text = np.r_[np.tile(rng.integers(1, few + 1, n), 3), 0]
+        n *= 3
         want = sorted(range(n + 1), key=lambda i: text[i:].tolist())
         assert suffix_array(text).tolist() == want
 
 
 def test_index():
     rng = np.random.default_rng(2)
-    text = rng.integers(0, 5, 400).astype(np.int32)
+    text = rng.integers(1, 6, 400).astype(np.int32)
     index = FMIndex(text, 4)
+    assert index.search(np.array([[-1, 2], [2, -1]], np.int32))[1].tolist() == [0, 0]
     for n in (1, 2, 4):
-        phrases = rng.integers(1, 5, (30, n)).astype(np.int32)
+        phrases = rng.integers(2, 6, (30, n)).astype(np.int32)
         low, high = index.search(phrases)
         for p, a, b in zip(phrases, low, high, strict=True):
             want = [i for i in range(400 - n + 1) if (text[i : i + n] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_the_index_holds_every_word():
+    """Words that no phrase has are in the index, too."""
+    words = Words([b"the cat sat on", b"", b"the mat the cat"], ALNUM)
+    shard = Shard(words)
+    assert shard.index.n == len(words) + 3 + 1 and len(shard.alphabet) == 5
+    found = [(f.tolist(), n) for f, n, *_ in shard.occurrences(Phrases([("a", b"the cat"), ("b", b"on the"), ("c", b"dog")], 13))]
+    assert [(sorted(f), n) for f, n in found] == [([0, 6], 2)]
+
+
+def test_a_benchmark_of_many_blocks(spark, docs_of, monkeypatch):
+    """More blocks than a worker keeps; they are written by tasks."""
+    rng = random.Random(5)
+    items = [(k, " ".join(f"q{rng.randrange(3000)}" for _ in range(60))) for k in range(90)]
+    rows = [(i, f"start {items[i][1]} stop") for i in range(0, 90, 7)] + [(500 + i, " ".join(f"q{rng.randrange(3000)}" for _ in range(80))) for i in range(20)]
+    got = find_contamination(docs_of(rows), spark.createDataFrame(items, "item_id long, text string").repartition(3), block_bytes=2000).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=str) == plain(rows, items)
+
+
 def test_a_cut_that_brings_a_phrase_together(spark, docs_of):
     phrase = " ".join(f"p{i}" for i in range(13))
     half = phrase.split()

@@ -1,22 +1,25 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Words are runs of digits, letters and non-ASCII characters, A-Z lowered. A shard is some MB of whole documents. Its text is written in the
-alphabet of the benchmark's words: other words and document borders are separators, and runs too short for
-the shortest test phrase are left out, since no phrase can occur there. Over that text stand a suffix array (prefix doubling), its
-Burrows-Wheeler transform, a wavelet matrix for ranks, and suffix positions sampled at every 32nd place. All test phrases are
-searched backward at once; occurrences are located by walking to sampled rows; their spans are merged.
+Words are runs of digits, letters and non-ASCII characters, A-Z lowered. A shard is some MB of whole documents. Over all its words,
+in an alphabet of its own with a separator after each document, stand a suffix array (prefix doubling on what is not yet told apart),
+its Burrows-Wheeler transform, a wavelet matrix for ranks, and suffix positions sampled at every 32nd place. The index depends
+on the shard alone; it is built once and all test phrases are searched backward in it, many at a time. Occurrences are located
+by walking to sampled rows; their spans are merged.
 
-Phrases: 13 consecutive words of an item, or all words of a shorter item. Test phrases go to the tasks in blocks of bounded size
-through the shared checkpoint folder, one block in memory at a time, so the benchmark may grow too. Words are compared by 64-bit hashes.
+Phrases: 13 consecutive words of an item, or all words of a shorter item. Tasks write them in blocks of bounded size to the shared
+checkpoint folder; the driver sees the blocks' names only. A worker keeps the last KEPT blocks, so a benchmark of up to so
+many is read once per worker, and a larger one once per shard. Words are compared by 64-bit hashes.
 
 Defined cases: null and empty texts have no words and no hits; an item without words is no phrase; items with a null id are
-searched but not listed; items that repeat count once per id; an empty table gives an empty result; an empty benchmark gives no hits; other columns are not read.
+searched but not listed; items that repeat count once per id; an empty table gives an empty result; an empty benchmark gives no hits; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -24,80 +27,84 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import mapped, pieces, scratch, texts
-from ._words import ALNUM, LOWER, Words
+from ._words import ALNUM, LOWER, Words, grams
 from .warc import filesystem
 
 SAMPLE = 32
+#: Blocks of test phrases that a worker keeps in memory.
+KEPT = 4
+#: Symbols below those of words: the end of a shard, and of a document.
+END, SEPARATOR, FIRST = 0, 1, 2
 
 
 class Phrases:
-    """Test phrases of some benchmark items, by length, in numbers of a common alphabet (0: separator)."""
+    """Test phrases of some benchmark items, by length, in numbers of their alphabet."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int) -> None:
         found = Words([t.translate(LOWER) for _, t in items], ALNUM)
         self.alphabet, codes = np.unique(found.hashes, return_inverse=True)
-        codes = codes.astype(np.int32) + 1
-        grouped: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for (item, _), a, b in zip(items, found.bounds[:-1].tolist(), found.bounds[1:].tolist(), strict=True):
-            size = min(window, b - a)
-            for i in range(a, b - size + 1 if size else a):
-                grouped[size][codes[i : i + size].tobytes()].update([] if item is None else [item])
-        #: (phrases as rows of codes, the items of each row) for each length.
-        self.by_length = [(np.frombuffer(b"".join(g), np.int32).reshape(len(g), size), [sorted(x) for x in g.values()]) for size, g in sorted(grouped.items())]
-        self.shortest = min(grouped, default=0)
-        self.likely = np.zeros(1 << 20, bool)
-        self.likely[self._low(self.alphabet)] = True
-
-    @staticmethod
-    def _low(hashes: np.ndarray) -> np.ndarray:
-        return (hashes & np.uint64((1 << 20) - 1)).astype(np.int64)
-
-    def code(self, hashes: np.ndarray) -> np.ndarray:
-        """Codes of words; 0 for words outside the alphabet."""
-        out = np.zeros(len(hashes), np.int32)
-        some = np.flatnonzero(self.likely[self._low(hashes)])
-        if len(some):
-            at = np.minimum(np.searchsorted(self.alphabet, hashes[some]), len(self.alphabet) - 1)
-            out[some] = np.where(self.alphabet[at] == hashes[some], at + 1, 0)
-        return out
-
-
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Starts of the sorted suffixes; the end of the text sorts first."""
-    n = len(codes)
-    _, rank = np.unique(codes, return_inverse=True)
-    rank, step = rank.astype(np.int64), 1
+        codes = codes.astype(np.int32)
+        self.names = [item for item, _ in items]
+        grouped: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for i, (a, b) in enumerate(zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist(), strict=True)):
+            if b > a:
+                size = min(window, b - a)
+                grouped[size].append((i, a, b - size + 1))
+        #: For each length: phrases as rows of codes; numbers of items, those of row k from `begins[k]` to `begins[k + 1]`.
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size, spans in sorted(grouped.items()):
+            starts = np.concatenate([np.arange(a, b) for _, a, b in spans])
+            owner = np.repeat([i for i, _, _ in spans], [b - a for _, a, b in spans])
+            _, first, row = np.unique(grams(found.hashes, size)[starts], return_index=True, return_inverse=True)
+            held = np.unique(np.stack([row, owner]), axis=1)
+            self.by_length.append((codes[starts[first][:, None] + np.arange(size)], held[1], np.searchsorted(held[0], np.arange(len(first) + 1))))
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of the sorted suffixes of a text whose last symbol occurs once. Prefix doubling; what is told apart is left alone."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    new = np.r_[True, text[order[1:]] != text[order[:-1]]]
+    slot = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the first place of each group of equal prefixes
+    rank = np.empty(n, np.int64)
+    rank[order] = slot
+    step = 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        fresh = np.r_[0, np.cumsum(np.diff(key[order]) != 0)]
-        rank[order] = fresh
-        if fresh[-1] == n - 1 or step >= n:
+        alone = new & np.r_[new[1:], True]
+        open_places = np.flatnonzero(~alone)
+        if not len(open_places):
             return order
+        some = order[open_places]
+        key = rank[some] * (n + 1) + rank[np.minimum(some + step, n - 1)]
+        by = np.argsort(key, kind="stable")
+        some, key = some[by], key[by]
+        order[open_places] = some
+        heads = np.r_[True, key[1:] != key[:-1]]
+        new[open_places] = heads
+        rank[some] = np.maximum.accumulate(np.where(heads, open_places, 0))
         step *= 2
 
 
 class FMIndex:
-    """Backward search and location in a text of codes."""
+    """Backward search and location in a text of symbols from FIRST on (and separators)."""
 
-    def __init__(self, codes: np.ndarray, sigma: int) -> None:
-        text = np.r_[codes + 1, 0].astype(np.int64)  # 0 ends the text
+    def __init__(self, symbols: np.ndarray, sigma: int) -> None:
+        text = np.r_[symbols, END].astype(np.int64)
         order = suffix_array(text)
-        self.bwt = text[order - 1]
-        self.n, self.bits = len(text), max(1, int(sigma + 1).bit_length())
-        counts = np.bincount(text, minlength=sigma + 2)
-        self.before = np.r_[0, np.cumsum(counts)]
+        self.bwt = text[order - 1].astype(np.int32)
+        self.n, self.bits = len(text), max(1, int(FIRST + sigma).bit_length())
+        self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=FIRST + sigma + 1))]
         self.levels: list[tuple[np.ndarray, int]] = []  # ones before each place, number of zeros
-        symbols = self.bwt
+        left = self.bwt
         for level in range(self.bits - 1, -1, -1):
-            bit = (symbols >> level) & 1
-            ones = np.r_[0, np.cumsum(bit)].astype(np.int32)
+            bit = ((left >> level) & 1).astype(bool)
+            ones = np.zeros(self.n + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
             self.levels.append((ones, self.n - int(ones[-1])))
-            symbols = np.r_[symbols[bit == 0], symbols[bit == 1]]
+            left = np.concatenate([left[~bit], left[bit]])
         marked = order % SAMPLE == 0
         self.marks = np.r_[0, np.cumsum(marked)]
         self.sampled = order[marked]
@@ -112,11 +119,12 @@ class FMIndex:
         return stop - start
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix-array intervals of phrases (rows of codes)."""
+        """Suffix-array intervals of phrases (rows of symbols; -1: not in the text)."""
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        live = np.arange(len(phrases))
+        live = np.flatnonzero((phrases >= 0).all(axis=1))
+        high[(phrases < 0).any(axis=1)] = 0
         for column in range(phrases.shape[1] - 1, -1, -1):
-            symbol = phrases[live, column].astype(np.int64) + 1
+            symbol = phrases[live, column].astype(np.int64)
             low[live] = self.before[symbol] + self.rank(symbol, low[live])
             high[live] = self.before[symbol] + self.rank(symbol, high[live])
             live = live[low[live] < high[live]]
@@ -134,39 +142,40 @@ class FMIndex:
             done = live[hit]
             out[done] = self.sampled[self.marks[at[done]]] + steps[done]
             live = live[~hit]
-            symbol = self.bwt[at[live]]
+            symbol = self.bwt[at[live]].astype(np.int64)
             at[live] = self.before[symbol] + self.rank(symbol, at[live])
             steps[live] += 1
         return out
 
 
-def occurrences(hashes: np.ndarray, bounds: np.ndarray, phrases: Phrases, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, int, np.ndarray, list[list[str]]]]:
-    """(first words of occurrences, phrase length, phrase row of each, items by phrase row) in a shard."""
-    if not phrases.shortest or not len(hashes):
-        return
-    # separators after each document's last word
-    lengths = np.diff(bounds)
-    place = np.arange(len(hashes)) + np.repeat(np.arange(len(lengths)), lengths)
-    codes = np.zeros(len(hashes) + len(lengths), np.int32)
-    codes[place] = phrases.code(hashes)
-    word = np.zeros(len(codes), np.int64)
-    word[place] = np.arange(len(hashes))
-    edges = np.flatnonzero(np.diff((codes > 0).astype(np.int8), prepend=np.int8(0)))
-    starts, ends = edges[0::2], edges[1::2]
-    long = ends - starts >= phrases.shortest
-    starts, sizes = starts[long], (ends - starts)[long] + 1  # with the separator that follows
-    if not len(starts):
-        return
-    kept = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    index = FMIndex(codes[kept], len(phrases.alphabet))
-    for rows, items in phrases.by_length:
-        low, high = index.search(rows)
-        total = np.cumsum(high - low)
-        for a in range(0, int(total[-1]), at_once):
-            nth = np.arange(a, min(a + at_once, int(total[-1])))
-            which = np.searchsorted(total, nth, side="right")
-            places = index.locate(low[which] + nth - (total[which] - (high - low)[which]))
-            yield word[kept[places]], rows.shape[1], which, items
+class Shard:
+    """The index of all words of some texts."""
+
+    def __init__(self, words: Words) -> None:
+        lengths = np.diff(words.bounds)
+        place = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)
+        self.alphabet, codes = np.unique(words.hashes, return_inverse=True)
+        symbols = np.full(len(words) + len(lengths), SEPARATOR, np.int32)
+        symbols[place] = codes + FIRST
+        self.word = np.zeros(len(symbols), np.int64)  # the word at a place
+        self.word[place] = np.arange(len(words))
+        self.index = FMIndex(symbols, len(self.alphabet)) if len(words) else None
+
+    def occurrences(self, phrases: Phrases, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first words of occurrences, phrase length, phrase row of each, numbers of items, where a row's begin)."""
+        if self.index is None or not phrases.by_length:
+            return
+        near = np.minimum(np.searchsorted(self.alphabet, phrases.alphabet), len(self.alphabet) - 1)
+        symbol = np.where(self.alphabet[near] == phrases.alphabet, near + FIRST, -1).astype(np.int32)
+        for rows, items, begins in phrases.by_length:
+            for first in range(0, len(rows), at_once):
+                low, high = self.index.search(symbol[rows[first : first + at_once]])
+                total = np.cumsum(high - low)
+                for a in range(0, int(total[-1]), at_once):
+                    nth = np.arange(a, min(a + at_once, int(total[-1])))
+                    which = np.searchsorted(total, nth, side="right")
+                    places = self.index.locate(low[which] + nth - (total[which] - (high - low)[which]))
+                    yield self.word[places], rows.shape[1], which + first, items, begins
 
 
 def removal_spans(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -175,54 +184,63 @@ def removal_spans(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[0::2].tolist(), (edges[1::2] - edges[0::2]).tolist(), strict=True))
 
 
-@lru_cache(maxsize=1)
-def load(folder: str, block: int) -> Phrases:
+@lru_cache(maxsize=KEPT)
+def load(folder: str, block: str) -> Phrases:
     system, base = filesystem(folder)
-    with system.open_input_stream(f"{base}/phrases-{block}", compression=None) as file:
+    with system.open_input_stream(f"{base}/{block}", compression=None) as file:
         return pickle.loads(file.read())
 
 
-def store_phrases(benchmark: DataFrame, folder: str, id_col: str, text_col: str, window: int, block_bytes: int) -> int:
-    """Writes the test phrases in blocks of about block_bytes of text; the number of blocks."""
-    system, base = filesystem(folder)
-    held: list[tuple[str | None, bytes]] = []
-    size = blocks = 0
-
-    def flush() -> None:
-        nonlocal held, size, blocks
-        with system.open_output_stream(f"{base}/phrases-{blocks}", compression=None) as file:
-            file.write(pickle.dumps(Phrases(held, window)))
-        held, size, blocks = [], 0, blocks + 1
-
-    for item, text in benchmark.select(benchmark[id_col].cast("string"), benchmark[text_col].cast("string")).toLocalIterator():
-        if text:
-            held.append((item, text.encode()))
-            size += len(held[-1][1])
-            if size >= block_bytes:
-                flush()
-    if held:
-        flush()
-    return blocks
+def store_phrases(benchmark: DataFrame, folder: str, id_col: str, text_col: str, window: int, block_bytes: int) -> list[str]:
+    """Writes the test phrases, by tasks, in blocks of about block_bytes of text; the blocks' names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = filesystem(folder)
+        held: list[tuple[str | None, bytes]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            name = f"phrases-{uuid.uuid4().hex}"  # of a task that runs twice, one attempt's names come back
+            with system.open_output_stream(f"{base}/{name}", compression=None) as file:
+                file.write(pickle.dumps(Phrases(held, window)))
+            return pa.RecordBatch.from_pydict({"block": [name]})
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                held.append((item, text))
+                size += len(text)
+                if size >= block_bytes:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    rows = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text")).filter("text <> ''")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    found = rows.repartition(max(1, -(-int(total) // block_bytes))).transform(mapped, run, "block string")
+    return sorted(r["block"] for r in found.collect())
 
 
 class Judgement:
     """What the test phrases hit in a shard of texts."""
 
-    def __init__(self, body: list[bytes], folder: str, blocks: int, share: int) -> None:
-        shard = Words([t.translate(LOWER) for t in body], ALNUM)
-        change = np.zeros(len(shard) + 1, np.int64)
+    def __init__(self, body: list[bytes], folder: str, blocks: list[str], share: int) -> None:
+        words = Words([t.translate(LOWER) for t in body], ALNUM)
+        shard = Shard(words) if blocks else None
+        change = np.zeros(len(words) + 1, np.int64)
         self.items: dict[int, set[str]] = defaultdict(set)
-        for block in range(blocks):
-            for first, size, which, names in occurrences(shard.hashes, shard.bounds, load(folder, block)):
+        for block in blocks:
+            phrases = load(folder, block)
+            for first, size, which, items, begins in shard.occurrences(phrases):
                 np.add.at(change, first, 1)
                 np.add.at(change, first + size, -1)
-                doc = np.searchsorted(shard.bounds, first, side="right") - 1
+                doc = np.searchsorted(words.bounds, first, side="right") - 1
                 for d, w in np.unique(np.stack([doc, which]), axis=1).T.tolist():
-                    self.items[d].update(names[w])
-        self.words, self.bounds, self.covered = shard, shard.bounds, np.cumsum(change[:-1]) > 0
+                    self.items[d].update(x for i in items[begins[w] : begins[w + 1]].tolist() if (x := phrases.names[i]) is not None)
+        self.words, self.bounds, self.covered = words, words.bounds, np.cumsum(change[:-1]) > 0
         self.begins = np.cumsum([0] + [len(t) + 1 for t in body])
-        self.n_words = np.diff(shard.bounds)
-        self.n_hit = np.diff(np.r_[0, np.cumsum(self.covered)][shard.bounds])
+        self.n_words = np.diff(words.bounds)
+        self.n_hit = np.diff(np.r_[0, np.cumsum(self.covered)][words.bounds])
         self.contaminated = (self.n_hit > 0) & (share * self.n_hit >= self.n_words)
 
     def spans(self) -> list[list[dict[str, int]]]:
@@ -231,7 +249,7 @@ class Judgement:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 3 << 20, block_bytes: int = 8 << 20
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 3 << 20, block_bytes: int = 4 << 20
 ) -> DataFrame:
     """Per row: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word, words)."""
     folder = scratch(docs.sparkSession, "phrases")
@@ -284,7 +302,7 @@ def cut_until_clean(body: list[bytes], found: Judgement, which: list[int], judge
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 3 << 20, block_bytes: int = 8 << 20, length_col: str = "n_chars") -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = 13, share: int = 20, shard_bytes: int = 3 << 20, block_bytes: int = 4 << 20, length_col: str = "n_chars") -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns. Rows with fewer hits lose the spans that are hit (and length_col,
     if there is one, follows); all others stay as they are.
     """
