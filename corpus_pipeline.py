@@ -1,12 +1,12 @@
 """The corpus pipeline: five stages over `documents`, each a whole-table pass of one training-data operator.
 
 Each stage gets what the one before kept, as written and read again, and judges all of it. All but the last return the
-columns of documents, rows unchanged:
+columns of documents. Rows stay as they are, but for texts that lose benchmark passages in the fourth stage (n_chars follows):
 
 1. language_id drops documents that the classifier rejects (no letters, or far from every language).
-2. exact_dedup keeps one document of each group of equal texts.
-3. near_dedup keeps one document of each group linked by similarity of 0.8 or more.
-4. decontaminate drops documents that hold benchmark passages (its `contaminated`).
+2. exact_dedup keeps one document of each group of equal texts, that with the largest doc_id.
+3. near_dedup keeps one document of each group linked by similarity of 0.8 or more, that with the least doc_id.
+4. decontaminate drops documents of which benchmark passages are 5 % of the words or more, and cuts shorter ones out of the others.
 5. sentencepiece encodes and decodes what is left.
 """
 

@@ -133,7 +133,6 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN page_id <> first THEN first END AS refers_to
             FROM h""",
-        "op6_substring_dedup": op6_substring_dedup,
         "op6_substring_dedup": r"""
             WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
                  starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20),
