@@ -63,3 +63,10 @@ def test_conversations(spark, bounds):
 
 def test_nothing(spark):
     assert format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), TOKENIZER).collect() == []
+
+
+def test_ids_of_any_type(spark):
+    rows = [("a", 0, "user", "hello"), ("a", 1, "assistant", "hi"), ("7", 0, "user", None), (None, 0, "assistant", "x")]
+    made = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in format_conversations(made, "/opt/tokenizers/byte_bpe_50k.json").collect()}
+    assert got == {"a": (2, 2), "7": (1, 0), None: (1, 1)}

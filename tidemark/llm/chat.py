@@ -11,8 +11,8 @@ A conversation beyond `most_chars` is rendered and encoded in runs of turns: mar
 token sequence is the same. Rows reach a task sorted by conversation and turn and are read as a stream; digests are
 updated turn by turn, so a conversation of any number of turns needs bounded memory.
 
-Defined cases: null text and null role are empty; a null conversation id is a conversation of its own; turns that tie are ordered by
-role, then text; repeated rows all count; an empty table gives an empty result; other columns are not read.
+Defined cases: ids are of any type; null text and null role are empty; a null conversation id is a conversation of its own; turns that tie are ordered by
+role, then text; repeated rows all count; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import mapped, tokenizer_threads
 
@@ -116,13 +117,16 @@ class Conversation:
         return {"conv_id": self.conv_id, "n_turns": self.n_turns, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.formatted_chars, "n_tokens": self.n_tokens, "n_loss_tokens": self.n_loss_tokens}
 
 
-SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_loss_tokens", pa.int64())])
+#: Columns beside the conversation's id.
+FIELDS = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_loss_tokens", pa.int64())]
 
 
 def format_conversations(rows: DataFrame, tokenizer_path: str, most_chars: int = 1 << 20, at_once: int = 1 << 21) -> DataFrame:
     """Per conv_id: counts and digests read back from the formatted and masked conversation."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
+    kind = rows.schema["conv_id"].dataType
+    schema = pa.schema([("conv_id", to_arrow_type(kind)), *FIELDS])
+    rows = rows.select(F.col("conv_id"), F.col("turn").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]], bool]]:
@@ -166,10 +170,10 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, most_chars: int =
             if size >= at_once:
                 flush()
                 if done:
-                    yield pa.RecordBatch.from_pylist(done, SCHEMA)
+                    yield pa.RecordBatch.from_pylist(done, schema)
                     done = []
         flush()
         if done:
-            yield pa.RecordBatch.from_pylist(done, SCHEMA)
+            yield pa.RecordBatch.from_pylist(done, schema)
 
-    return rows.transform(mapped, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")
+    return rows.transform(mapped, run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")

@@ -10,7 +10,8 @@ Tasks write files under names of their own attempt; the checkpointed manifest na
 is run again after a lost executor leaves at most an unused file.
 
 Of pages with equal payloads (by SHA-256) of at least `least_bytes` bytes, the smallest page id is a response, the others
-revisit it. Defined cases: null html is an empty payload; null urls and ids become empty; pages that repeat both the smallest id and
+revisit it. Defined cases: page ids are whole numbers (a table whose ids can't be read as such is an error); other columns, whatever their
+names, are not read; null html is an empty payload; null urls and ids become empty; pages that repeat both the smallest id and
 the payload are all responses; line breaks in urls are percent-encoded; an empty table gives no archives and an empty result.
 """
 
