@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, mapped, pieces, restrict, spread, text_key, text_of, texts
+from ._common import checkpointed, mapped, restrict, spread, text_key, text_of, texts
 from ._words import SPACED, Words, grams, mix
 
 WINDOW, ROUNDS = 20, 3
@@ -227,19 +227,32 @@ def sent_round(shard: Stretches, number: int, level: int, buckets: int) -> Itera
     yield pa.RecordBatch.from_pylist([{"shard": number, "body": shard.pack()}], ROUND)
 
 
+def gathered_texts(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """(id, text key, text) of shards of about shard_bytes: the larger a shard, the more of its names come twice in it."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(batch.column("id").to_pylist(), batch.column("text_key").to_pylist(), texts(batch.column("text")), strict=True):
+            held.append(row)
+            size += len(row[2])
+            if size >= shard_bytes:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def first_round(docs: DataFrame, buckets: int, shard_bytes: int) -> DataFrame:
     """Whole texts of a window and more, in shards, and the names of the first round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for a, b in pieces(batch.column("text"), shard_bytes):
-                part = batch.slice(a, b - a)
-                whole_texts = Stretches(part.column("id").to_numpy(), short_key(part.column("text_key").to_pylist()), np.zeros(b - a, np.int64), texts(part.column("text")))
-                shard = whole_texts.cut(whole_texts.windows())
-                if shard.bodies:
-                    yield from sent_round(shard, number, 1, buckets)
-                    number += 1
+        for held in gathered_texts(batches, shard_bytes):
+            ids, keys, bodies = map(list, zip(*held, strict=True))
+            whole_texts = Stretches(np.array(ids, np.int64), short_key(keys), np.zeros(len(ids), np.int64), bodies)
+            shard = whole_texts.cut(whole_texts.windows())
+            if shard.bodies:
+                yield from sent_round(shard, number, 1, buckets)
+                number += 1
 
     return docs.select("id", "text_key", "text").transform(mapped, run, ROUND_SQL)
 
