@@ -3,7 +3,7 @@
 strict accepts a record if it fits beside those accepted before; turnover evicts the oldest by (timestamp, insertion order)
 until the new one fits. Records larger than the bound never enter.
 
-Where timestamps never fall in insertion order, turnover keeps the longest suffix that fits: one pass of suffix sums.
+Where timestamps never fall in insertion order, turnover keeps the longest suffix that fits, found by sums over slices of time.
 Otherwise the outcome depends on every step, and one task folds the stream with a heap of at most `most` bytes
 of records (24 bytes of state each); ids and sizes alone go there, never payloads.
 """
@@ -102,31 +102,38 @@ def retain(records: DataFrame, most: int, policy: str = "strict", assume_in_orde
     return records.join(kept, "insertion_order", "left_semi")
 
 
-def _suffix(records: DataFrame, most: int) -> DataFrame:
-    """The longest suffix, by time, of at most `most` bytes. Sums are taken per slice of time first, so only one slice is walked."""
-    thin = records.select("timestamp", "encoded_bytes")
-    span = thin.agg(F.min("timestamp"), F.max("timestamp")).first()
-    if span[0] is None:
-        return records
-    low, high = span
-    while True:  # narrow [low, high] down to the slice in which the bound falls
-        width = max(1, -(-(high - low + 1) // 1024))
-        later = thin.filter(F.col("timestamp") > high).agg(F.coalesce(F.sum("encoded_bytes"), F.lit(0))).first()[0]
-        inside = thin.filter(F.col("timestamp").between(low, high))
-        slices = {r[0]: r[1] for r in inside.groupBy(F.floor((F.col("timestamp") - low) / width).cast("long").alias("slice")).agg(F.sum("encoded_bytes")).collect()}
-        at = None
-        for s in sorted(slices, reverse=True):
-            if later + slices[s] > most:
-                at = s
+#: Slices that one pass tells apart; so many sums come to the driver.
+SLICES = 1 << 14
+
+
+def _cut(rows: DataFrame, key: str, room: int) -> tuple[int, int] | None:
+    """(the greatest key whose rows don't all fit beside those of greater keys, the room that these leave); None if all fit.
+
+    Each pass sums sizes per slice of the keys and goes on in the slice in which the bound falls.
+    """
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    while low is not None:
+        width = -(-(high - low + 1) // SLICES)
+        inside = rows.filter(F.col(key).between(low, high)).groupBy(F.expr(f"({key} - {low}L) div {width}L").alias("slice"))
+        for at, size in sorted(inside.agg(F.sum("encoded_bytes")).collect(), reverse=True):
+            if size > room:
                 break
-            later += slices[s]
-        if at is None:
-            return records.filter(F.col("timestamp") >= low)
+            room -= size
+        else:
+            return None
         low, high = low + at * width, min(high, low + (at + 1) * width - 1)
         if width == 1:
-            break
-    # of the last millisecond, the newest that still fit
-    tied = Window.orderBy(F.col("insertion_order").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    edge = records.filter(F.col("timestamp") == low).withColumn("__held", F.sum("encoded_bytes").over(tied))
-    edge = edge.filter(F.col("__held") <= most - later).drop("__held")
-    return records.filter(F.col("timestamp") > high).unionByName(edge)
+            return low, room
+    return None
+
+
+def _suffix(records: DataFrame, most: int) -> DataFrame:
+    """The longest suffix, by time and insertion order, of at most `most` bytes."""
+    thin = records.select("timestamp", "insertion_order", "encoded_bytes")
+    found = _cut(thin, "timestamp", most)
+    if found is None:
+        return records
+    last, room = found
+    # of the millisecond in which the bound falls, the newest that still fit
+    order = _cut(thin.filter(F.col("timestamp") == last), "insertion_order", room)[0]
+    return records.filter((F.col("timestamp") > last) | ((F.col("timestamp") == last) & (F.col("insertion_order") > order)))
