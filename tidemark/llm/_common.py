@@ -52,6 +52,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return str(fs.makeQualified(target).toString())
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder under scratch that no frame reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def tokenizer_file(name: str, folder: str = "/opt/tokenizers") -> str:
     """Place of a public vocabulary file; every node has them."""
     return f"{folder}/{name}"

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, mapped, restrict, spread, text_key, text_of, texts
+from ._common import checkpointed, forget, mapped, restrict, scratch, spread, text_key, text_of, texts
 from ._words import SPACED, Words, grams, mix
 
 WINDOW, ROUNDS = 20, 3
@@ -132,7 +132,7 @@ class Stretches:
     def pack(self) -> bytes:
         batch = pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()), pa.array(self.keys, pa.uint64()), pa.array(self.offsets, pa.int64()), pa.array(self.bodies, pa.large_binary())], ["id", "key", "offset", "body"])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
             out.write_batch(batch)
         return sink.getvalue().to_pybytes()
 
@@ -257,6 +257,12 @@ def first_round(docs: DataFrame, buckets: int, shard_bytes: int) -> DataFrame:
     return docs.select("id", "text_key", "text").transform(mapped, run, ROUND_SQL)
 
 
+def written(sent: DataFrame, path: str) -> DataFrame:
+    """A round, written to the shared folder and read from there; the next round is all that needs it."""
+    sent.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    return sent.sparkSession.read.schema(ROUND_SQL).parquet(path)
+
+
 def answers(sent: DataFrame, buckets: int) -> DataFrame:
     """The global table of names, asked: (shard, answers), for each bucket a bit per name of one place: whether it has another elsewhere."""
 
@@ -520,10 +526,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bucket_bytes))
     copied = rows.groupBy("text_key", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("text_key").agg(F.min("id").alias("first"), F.sum("n").alias("n"), F.min_by("n", "id").alias("n_first"))
     copied = checkpointed(spread(copied.filter("n > 1").drop("n")))
-    sent = checkpointed(first_round(searched(docs, copied), buckets, shard_bytes))
+    folder = scratch(docs.sparkSession, "rounds")
+    sent = written(first_round(searched(docs, copied), buckets, shard_bytes), f"{folder}/1")
     for level in range(2, ROUNDS + 1):
-        sent = checkpointed(next_round(sent, level, buckets))
+        sent = written(next_round(sent, level, buckets), f"{folder}/{level}")
+        forget(docs.sparkSession, f"{folder}/{level - 1}")
     found = checkpointed(repeats(send_windows(sent, buckets), buckets))
+    forget(docs.sparkSession, f"{folder}/{ROUNDS}")
     # texts that lose words, one row each: the first
     some = rows.join(copied, "text_key", "left").filter("first is null or id = first")
     some = some.join(distinct_keys(found), F.substring("text_key", 1, 8) == F.col("short")).select("text_key", "id")
