@@ -1,9 +1,15 @@
+import heapq
 import json
 import os
 import random
 import time
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from tidemark import Datastore, LuceneEngine, QueryRequest, SqlEngine, compare_by_logical_order, run_query_with_engine, to_public_record
@@ -22,7 +28,7 @@ from tidemark.errors import (
 )
 from tidemark.operators.retention import in_order, parse_frequency, parse_size, retain, strict
 from tidemark.sources.bulk import number_records
-from tidemark.streaming import continuous_append, continuous_turnover
+from tidemark.streaming import continuous_append, continuous_turnover, ingest
 
 
 @pytest.fixture
@@ -287,6 +293,57 @@ def test_stream_turnover(spark, tmp_path):
     assert sorted(kept) == plain_turnover([r[1:] for r in rows], 100)
 
 
+def test_stream_turnover_holds_a_run_at_most(spark, monkeypatch):
+    """Rows come in any order; memory doesn't grow with a micro-batch, and results don't come all at once."""
+    steps = []
+    monkeypatch.setattr(ingest, "RUN", 2000, raising=False)
+    monkeypatch.setattr(ingest, "PIECE", 50, raising=False)
+    monkeypatch.setattr(ingest, "SPOOLED", 2000, raising=False)
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", lambda self, f, *_: steps.append(f))
+    continuous_turnover(spark.createDataFrame([], "stream string, timestamp long, insertion_order long, encoded_bytes long"), 2000)
+
+    def peak(n, ordered):
+        rng = np.random.default_rng(n)
+        stamps, sizes = rng.integers(0, 10**6, n), rng.integers(1, 60, n)
+        orders = np.arange(n) if ordered else rng.permutation(n)
+        state = SimpleNamespace(exists=False, update=lambda x: setattr(state, "kept", x))
+        batches = (pd.DataFrame({"timestamp": stamps[x], "insertion_order": x, "encoded_bytes": sizes[x]}) for x in np.array_split(orders, n // 100))
+        kept, longest = set(), 0
+        tracemalloc.start()
+        for frame in steps[0](("s",), batches, state):
+            longest = max(longest, len(frame))
+            for order, evicted in zip(frame["insertion_order"].tolist(), frame["evicted"].tolist(), strict=True):
+                (kept.remove if evicted else kept.add)(order)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        held, size = [], 0
+        for row in zip(stamps.tolist(), range(n), sizes.tolist(), strict=True):
+            while size + row[2] > 2000:
+                size -= heapq.heappop(held)[2]
+            heapq.heappush(held, row)
+            size += row[2]
+        assert kept == {x[1] for x in held} and sorted(state.kept[1]) == sorted(kept)
+        assert longest < 2000
+        return most
+
+    for ordered in (True, False):
+        peak(1000, ordered)
+        assert peak(80_000, ordered) < 1.5 * peak(20_000, ordered)
+
+
+def test_stream_turnover_without_time(spark, tmp_path):
+    """Such records are the oldest."""
+    rng = random.Random(6)
+    rows = [("s", None if i % 4 == 0 else rng.randrange(50), i, rng.randrange(1, 40)) for i in range(60)]
+    source, schema = tmp_path / "in", "stream string, timestamp long, insertion_order long, encoded_bytes long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{source}")
+    made = continuous_turnover(spark.readStream.schema(schema).parquet(f"file://{source}"), 400)
+    made.writeStream.outputMode("update").format("memory").queryName("timeless").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    events = spark.table("timeless").collect()
+    kept = {r.insertion_order for r in events if not r.evicted} - {r.insertion_order for r in events if r.evicted}
+    assert sorted(kept) == plain_turnover([(-1 if at is None else at, i, n) for _, at, i, n in rows], 400)
+
+
 def event(i, at=0):
     return (i, at, json.dumps({"id": i}))
 
